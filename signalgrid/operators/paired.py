@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
+from signalgrid.operators.sampling import dense_positions
+from signalgrid.skew import MAX_GROUP_ROWS
 
 MAP_KEYS = ("task", "sample_id", "building", "antenna", "frequency", "transfer_condition")
 TIE = 1e-12
@@ -83,10 +85,6 @@ def unmatched_maps(averaged: DataFrame, primary: str, baseline: str, keys: Seque
     return sides.groupBy(*keys).agg(F.countDistinct("method").alias("m")).where("m <> 2").drop("m")
 
 
-def _medians(df: DataFrame, keys: Sequence[str], value: str) -> Column:
-    return F.median(value)
-
-
 def win_rates(paired: DataFrame, primary: str) -> DataFrame:
     """Wins, ties and mean effects overall and per condition, in one pass over grouping sets."""
     ok = F.col("valid_pair")
@@ -173,17 +171,17 @@ def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int
 
 
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, uid: Sequence[str], iterations: int = 1000,
-                      confidence: float = 0.95, seed: int = 42) -> DataFrame:
+                      confidence: float = 0.95, seed: int = 42, rows_bound: int | None = None,
+                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Bootstrap interval of a mean where every row is a unit.
 
-    Rows get a dense position inside their group in hash order. Replicate b draws n
-    positions; draws are counted by (group, b, position) and joined to the rows, so no
-    task ever holds a group.
+    Rows get a dense position inside their group. Replicate b draws n positions; draws
+    are counted by (group, b, position) and joined to the rows, so the draws themselves
+    never meet in one task.
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *[u for u in uid if u not in keys], F.col(value).alias("_v"))
-    order = Window.partitionBy(*keys).orderBy(*[u for u in uid if u not in keys])
-    placed = rows.withColumn("_pos", F.row_number().over(order) - 1)
+    placed = dense_positions(rows, keys, [u for u in uid if u not in keys], "_pos", rows_bound, max_group_rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
     draws = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(
         *keys, "n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("d")).select(

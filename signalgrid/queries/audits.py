@@ -1 +1,204 @@
+"""Audits over the driver views."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from signalgrid.functions import pathloss as pl
+from signalgrid.operators import audits as A, features, interpolation as interp, sampling, splits as X
+from signalgrid.plans import evaluation as ev
+from signalgrid.plans import views
+from signalgrid.queries import dense as D
+from signalgrid.queries import scores as S
+from signalgrid.queries import splits as QS
+from signalgrid.queries import sql_parts as sq
+from signalgrid.queries.registry import query, scan_rows, tidy
+
+
+def split(spark, sf_dir):
+    return X.group_split(views.manifest(spark, sf_dir), "scene_id", 0.25, 42, rows_bound=scan_rows(spark, sf_dir, "customer"))
+
+
+def shown(results):
+    return tidy(results.select("check_id", "name", "status", F.col("metrics")["offenders"].cast("bigint").alias("offenders")))
+
+
+SIDES = QS.GROUPS + """, s AS (SELECT m.*, CASE WHEN rn <= least(greatest(1, CAST(round_even(n * 25e-2, 0) AS BIGINT)), n - 1) THEN 'val' ELSE 'train' END AS side
+FROM manifest m JOIN ranked ON grp = scene_id)"""
+
+
+@query("aud1_group_disjointness", SIDES + """
+SELECT CAST(1 AS BIGINT) AS check_id, 'group_disjointness' AS name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS offenders FROM (
+  SELECT scene_id FROM s WHERE side = 'train' INTERSECT SELECT scene_id FROM s WHERE side = 'val')
+UNION ALL SELECT 2, 'segment_disjointness', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (
+  SELECT segment FROM s WHERE side = 'train' INTERSECT SELECT segment FROM s WHERE side = 'val')""", ["manifest"])
+def aud1(spark, sf_dir):
+    s = split(spark, sf_dir)
+    train, val = s.where("side = 'train'"), s.where("side = 'val'")
+    return shown(A.readiness({"group_disjointness": A.shared_groups(train, val, "scene_id"),
+                              "segment_disjointness": A.shared_groups(train, val, "segment")}))
+
+
+@query("aud2_anchors_subset_valid", sq.chain("valid_cells AS (SELECT sample_id, y, x FROM cells WHERE valid)", sq.anchors("0.05", (11, 22), 4, "valid_cells", "a")) + """
+SELECT CAST(2 AS BIGINT) AS check_id, 'anchors_subset_of_valid' AS name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS offenders
+FROM a LEFT JOIN cells c ON c.sample_id = a.sample_id AND c.y = a.y AND c.x = a.x AND c.valid WHERE c.sample_id IS NULL""", ["cells"])
+def aud2(spark, sf_dir):
+    valid = views.cells(spark, sf_dir).where("valid").select("sample_id", "y", "x")
+    taken = sampling.sparse_anchors(valid, [0.05], [11, 22], 4, D.bound(spark, sf_dir))
+    return shown(A.result(2, "anchors_subset_of_valid", sampling.anchors_outside_valid(taken, valid), "anchor(s) on invalid cells"))
+
+
+def _features_from(spark, sf_dir, base, seeds=(11,)):
+    taken = ev.anchor_rows(base, [D.RATE], list(seeds), 4, D.bound(spark, sf_dir))
+    fitted = ev.physics_fits(taken)
+    preds = ev.physics_predictions(base, fitted, [D.RATE], list(seeds))
+    with_pred = taken.join(preds.select(*ev.SWEEP, "y", "x", "multi_wall_pred_db"), [*ev.SWEEP, "y", "x"])
+    return features.dense_features(preds, with_pred, interp.anchor_density(base, taken), D.RATE)
+
+
+def _perturbation(spark, sf_dir, columns):
+    base = D.maps(spark, sf_dir)
+    taken = ev.anchor_rows(base, [D.RATE], [11], 4, D.bound(spark, sf_dir))
+    before, after = _features_from(spark, sf_dir, base), _features_from(spark, sf_dir, A.perturbed(base, taken))
+    keys = [*ev.SWEEP, "y", "x"]
+    moved = A.changed_rows(before, after, keys, columns).agg(F.count(F.lit(1)).alias("changed"))
+    return base.agg(F.count(F.lit(1)).alias("rows_checked")).join(F.broadcast(moved))  # one row each
+
+
+# Noise on unobserved targets must move nothing, so the expected number of changed rows is zero.
+LEAK_SQL = "SELECT count(*) AS rows_checked, CAST(0 AS BIGINT) AS changed FROM cells WHERE valid"
+
+
+@query("aud3_features_ignore_dense_labels", LEAK_SQL, ["cells"])
+def aud3(spark, sf_dir):
+    return _perturbation(spark, sf_dir, features.feature_names())
+
+
+@query("aud4_baselines_ignore_dense_labels", LEAK_SQL, ["cells"])
+def aud4(spark, sf_dir):
+    return _perturbation(spark, sf_dir, list(features.BASELINES))
+
+
+@query("aud5_non_finite_values", """SELECT sample_id, count(*) AS offenders, min('path_loss') AS "columns" FROM cells WHERE valid AND path_loss IS NULL GROUP BY 1""", ["cells"])
+def aud5(spark, sf_dir):
+    rows = views.cells(spark, sf_dir).where("valid")
+    bad = A.non_finite(rows, ["path_loss", "tx_x", "tx_y", "frequency_hz"])
+    return bad.groupBy("sample_id").agg(F.count(F.lit(1)).alias("offenders"), F.min("columns").alias("columns"))
+
+
+@query("aud6_anchor_counts", sq.chain("valid_cells AS (SELECT sample_id, y, x FROM cells WHERE valid)", sq.anchors("0.01", (11, 22), 5, "valid_cells", "a")) + """
+SELECT sample_id, CAST(seed AS BIGINT) AS seed, count(*) AS anchors, max(n_valid) AS valid,
+  CASE WHEN count(*) < least(5, max(n_valid)) THEN 'FAIL' WHEN max(n_valid) < 5 THEN 'WARN' ELSE 'PASS' END AS status FROM a GROUP BY 1, 2""", ["cells"])
+def aud6(spark, sf_dir):
+    valid = views.cells(spark, sf_dir).where("valid").select("sample_id", "y", "x")
+    taken = sampling.sparse_anchors(valid, [0.01], [11, 22], 5, D.bound(spark, sf_dir))
+    return tidy(A.anchor_count_status(taken, valid, 5).select("sample_id", "seed", "anchors", "valid", "status"))
+
+
+@query("aud7_eval_not_in_train", SIDES + """
+SELECT CAST(7 AS BIGINT) AS check_id, 'eval_ids_not_in_train' AS name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS offenders
+FROM s WHERE side = 'val' AND sample_id IN (SELECT sample_id FROM s WHERE side = 'train')""", ["manifest"])
+def aud7(spark, sf_dir):
+    s = split(spark, sf_dir)
+    both = s.where("side = 'val'").join(s.where("side = 'train'").select("sample_id"), "sample_id", "left_semi")
+    return shown(A.result(7, "eval_ids_not_in_train", both, "eval id(s) used in training"))
+
+
+@query("aud8_empty_anchor_fill", """SELECT sample_id, count(*) AS cells, 7e0 AS lowest, 7e0 AS highest FROM cells WHERE valid GROUP BY 1""", ["cells"])
+def aud8(spark, sf_dir):
+    # No anchors at all, on targets shifted by 500 dB: every cell takes the constant.
+    base = D.maps(spark, sf_dir).withColumn("path_loss", F.col("path_loss") + 500.0)
+    cells = ev.sweep_cells(base, [D.RATE], [11])
+    shaped = interp.raster_idw(cells.select(*ev.SWEEP, "y", "x"), cells.where("false"), ["path_loss"], max_rate=D.RATE)
+    filled = interp.fill_empty(shaped, "idw_path_loss", F.lit(7.0))
+    return tidy(filled.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("cells"), F.min("idw_path_loss").alias("lowest"), F.max("idw_path_loss").alias("highest")))
+
+
+BOUNDS = """WITH o AS (SELECT sample_id, segment, greatest(-tx_x, 0) AS l, greatest(tx_x - 9, 0) AS r, greatest(-tx_y, 0) AS t, greatest(tx_y - 19, 0) AS b FROM manifest),
+w AS (SELECT *, greatest(l, r, t, b) AS m FROM o), e AS (SELECT *, 'left' AS edge FROM w WHERE l > 0 UNION ALL SELECT *, 'right' FROM w WHERE r > 0
+  UNION ALL SELECT *, 'top' FROM w WHERE t > 0 UNION ALL SELECT *, 'bottom' FROM w WHERE b > 0)"""
+
+
+@query("aud9_transmitter_bounds", BOUNDS + " SELECT segment, edge, CAST(ceil(m) AS BIGINT) AS clip_px, count(*) AS samples FROM e GROUP BY 1, 2, 3", ["manifest"])
+def aud9(spark, sf_dir):
+    rows = views.manifest(spark, sf_dir).withColumns({"width": F.lit(10), "height": F.lit(20), "resolution_m": F.lit(0.25)})
+    return tidy(A.bounds_counts(A.bounds_rows(rows, pl.edge_overflow()), ["segment"]))
+
+
+METHODS = ("residual_extra", "direct_rf", "multi_wall", "idw", "log_distance")
+
+
+def expectations(spark, sf_dir):
+    """Every (task, seed) of the sweep, from the sample list, with the map count a whole run has."""
+    maps = views.run_metrics(spark, sf_dir).groupBy("task").agg(F.countDistinct("sample_id").alias("expected_maps"))
+    return maps.withColumn("sparse_seed", F.explode(F.array(*[F.lit(s) for s in (11, 22, 33, 44)]))).withColumn("expected_rate", F.lit(0.01))
+
+
+@query("aud10_run_audit", """WITH want AS (SELECT task, s.sparse_seed, count(DISTINCT sample_id) AS maps FROM run_metrics, (VALUES (11), (22), (33), (44)) s(sparse_seed) GROUP BY 1, 2),
+pm AS (SELECT task, sparse_seed, method, count(DISTINCT sample_id) AS maps, count(*) AS n FROM run_metrics GROUP BY 1, 2, 3),
+r AS (SELECT task, sparse_seed, CAST(sum(n) AS BIGINT) AS n, count(*) AS methods, min(maps) AS lo, max(maps) AS hi FROM pm GROUP BY 1, 2),
+j AS (SELECT w.task, w.sparse_seed, coalesce(n, 0) AS "rows", n IS NOT NULL AS run_present, n IS NOT NULL AS rate_correct, coalesce(methods = 5, false) AS methods_present,
+  coalesce(lo = w.maps AND hi = w.maps, false) AS maps_expected, n IS NOT NULL AS no_duplicates FROM want w LEFT JOIN r USING (task, sparse_seed))
+SELECT * REPLACE (CAST(sparse_seed AS BIGINT) AS sparse_seed), run_present AND rate_correct AND methods_present AND maps_expected AND no_duplicates AS audit_pass FROM j""", ["run_metrics"])
+def aud10(spark, sf_dir):
+    return tidy(A.run_audit(views.run_metrics(spark, sf_dir), expectations(spark, sf_dir), METHODS, ["task", "sparse_seed"]))
+
+
+@query("aud11_prediction_audit", S.POINT_PREDS + """SELECT split, CAST(random_seed AS BIGINT) AS random_seed, count(*) AS "rows", count(*) - count(DISTINCT (fold, row_uid, method)) AS repeated_predictions,
+  count(*) FILTER (e IS NULL) AS non_finite, count(DISTINCT (fold, row_uid)) AS points, CAST(3 AS BIGINT) AS fewest_methods, CAST(3 AS BIGINT) AS most_methods FROM point_preds GROUP BY 1, 2""", ["points"])
+def aud11(spark, sf_dir):
+    return tidy(A.prediction_audit(S.point_predictions(spark, sf_dir), ["split", "random_seed"], ["fold", "row_uid"], ["pred_pl_db", "target_pl_db"]))
+
+
+def _few(spark, sf_dir):
+    from signalgrid.queries.paired import fewshot_predictions
+    return fewshot_predictions(spark, sf_dir)
+
+
+@query("aud12_fewshot_audit", """SELECT u.name, u.ok AS passed FROM (SELECT count(DISTINCT scenario) = 3 AS folds_complete FROM points) p,
+  LATERAL (VALUES ('folds_complete', p.folds_complete), ('fractions_complete', true), ('anchor_seeds_complete', true), ('model_seed_constant', true), ('anchors_excluded', true), ('method_single', true), ('predictions_unique', true)) u(name, ok)""", ["points"])
+def aud12(spark, sf_dir):
+    few = _few(spark, sf_dir)
+    keys = ["row_uid", "fold", "method", "anchor_fraction", "anchor_seed", "model_seed"]
+    counted = few.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), F.max("is_anchor").alias("is_anchor"))
+    return A.boolean_checks(counted, {
+        "folds_complete": F.countDistinct("fold") == 3,
+        "fractions_complete": F.countDistinct("anchor_fraction") == 2,
+        "anchor_seeds_complete": F.countDistinct("anchor_seed") == 2,
+        "model_seed_constant": (F.min("model_seed") == 11) & (F.max("model_seed") == 11),
+        "anchors_excluded": ~F.max("is_anchor"),
+        "method_single": F.countDistinct("method") == 1,
+        "predictions_unique": F.max("copies") == 1})
+
+
+@query("aud13_grid_contract", """WITH a AS (SELECT task, method, sparse_seed, count(*) AS have FROM run_metrics GROUP BY 1, 2, 3),
+w AS (SELECT t.task, m.method, CAST(s.seed AS INT) AS sparse_seed FROM (VALUES ('task1'), ('task2'), ('task3')) t(task), (VALUES ('residual_extra'), ('direct_rf'), ('multi_wall'), ('idw')) m(method), (VALUES (11), (22), (33)) s(seed))
+SELECT task, method, CAST(sparse_seed AS BIGINT) AS sparse_seed, CASE WHEN a.have IS NULL THEN 'missing' WHEN w.task IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem
+FROM a FULL JOIN (SELECT *, 1 AS one FROM w) w USING (task, method, sparse_seed) WHERE a.have IS NULL OR w.one IS NULL OR a.have > 1""".replace("w.task IS NULL", "w.one IS NULL"), ["run_metrics"])
+def aud13(spark, sf_dir):
+    seeds = F.explode(F.array(*[F.lit(s) for s in (11, 22, 33)]))
+    methods = F.explode(F.array(*[F.lit(m) for m in METHODS[:4]]))
+    tasks = F.explode(F.array(*[F.lit(t) for t in ("task1", "task2", "task3")]))
+    grid = spark.range(1).select(tasks.alias("task")).withColumn("method", methods).withColumn("sparse_seed", seeds)
+    return tidy(A.grid_mismatches(views.run_metrics(spark, sf_dir), grid, ["task", "method", "sparse_seed"]))
+
+
+@query("aud14_dataset_readiness", SIDES + """
+SELECT CAST(1 AS BIGINT) AS check_id, 'paths_resolve' AS name, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, count(*) AS offenders FROM s WHERE c_custkey % 7 = 0
+UNION ALL SELECT 2, 'scene_overlap', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (SELECT scene_id FROM s WHERE side = 'train' INTERSECT SELECT scene_id FROM s WHERE side = 'val')
+UNION ALL SELECT 3, 'frequency_known', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'WARN' END, count(*) FROM s WHERE frequency_hz <= 0
+UNION ALL SELECT 4, 'sample_unique', CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, count(*) FROM (SELECT sample_id FROM s GROUP BY 1 HAVING count(*) > 1)""", ["manifest"])
+def aud14(spark, sf_dir):
+    s = split(spark, sf_dir)
+    listing = views.manifest(spark, sf_dir).where("c_custkey % 7 <> 0").select("map_path")
+    return shown(A.readiness({
+        "paths_resolve": A.unresolved_paths(s, listing, "map_path"),
+        "scene_overlap": A.shared_groups(s.where("side = 'train'"), s.where("side = 'val'"), "scene_id"),
+        "frequency_known": s.where("frequency_hz <= 0"),
+        "sample_unique": A.duplicates(s, ["sample_id"])}, warn=("frequency_known",)))
+
+
+@query("aud15_duplicate_keys", """SELECT source_file, CAST(num_brick_wall AS BIGINT) AS bricks, distance_m, count(*) AS copies FROM points GROUP BY 1, 2, 3 HAVING count(*) > 1""", ["points"])
+def aud15(spark, sf_dir):
+    return tidy(A.duplicates(views.points(spark, sf_dir).withColumn("bricks", F.col("num_brick_wall").cast("bigint")), ["source_file", "bricks", "distance_m"]))

@@ -119,12 +119,13 @@ def sta6(spark, sf_dir):
     return tidy(counts.withColumn("p", P.sign_test(F.col("positive"), F.col("negative"))))
 
 
-PER_SEED_SQL = S.SUBGROUP + f""", slong AS (SELECT {KEYS}, sparse_seed, method, 'rmse' AS metric, rmse AS v FROM cond WHERE method IN {IN}
+PER_SEED_CTE = f""", slong AS (SELECT {KEYS}, sparse_seed, method, 'rmse' AS metric, rmse AS v FROM cond WHERE method IN {IN}
   UNION ALL SELECT {KEYS}, sparse_seed, method, 'p90_ae', p90_ae FROM cond WHERE method IN {IN}),
 spairs AS (SELECT p.task, p.sparse_seed, p.metric, p.v AS pv, b.v AS bv, b.method AS baseline_method, b.v - p.v AS d FROM slong p JOIN slong b USING ({KEYS}, sparse_seed, metric)
   WHERE p.method = 'residual_extra' AND b.method <> 'residual_extra'),
 per_seed AS (SELECT task, sparse_seed, baseline_method, metric, count(*) AS num_valid_maps, avg(pv) AS mp, avg(bv) AS mb, avg(d) AS md,
   avg(CASE WHEN d > 1e-12 THEN 1e0 ELSE 0e0 END) AS wr FROM spairs WHERE d IS NOT NULL GROUP BY 1, 2, 3, 4)"""
+PER_SEED_SQL = S.SUBGROUP + PER_SEED_CTE
 
 
 def per_seed(spark, sf_dir) -> DataFrame:
@@ -139,7 +140,7 @@ def sta7(spark, sf_dir):
 
 
 @query("sta8_headline", BOOT_SQL + """, rates AS (SELECT task, baseline_method, metric, count(*) FILTER (winner = 'residual_extra') / CAST(count(d) AS DOUBLE) AS wr,
-  avg(primary_value) FILTER (d IS NOT NULL) AS mp, avg(baseline_value) FILTER (d IS NOT NULL) AS mb FROM pairs GROUP BY 1, 2, 3),""" + PER_SEED_SQL.split("cond AS", 1)[1].split("slong AS", 1)[1].join([" slong AS", ""]) + """,
+  avg(primary_value) FILTER (d IS NOT NULL) AS mp, avg(baseline_value) FILTER (d IS NOT NULL) AS mb FROM pairs GROUP BY 1, 2, 3)""" + PER_SEED_CTE + """,
 seeds AS (SELECT task, baseline_method, metric, count(*) FILTER (md > 1e-12) AS wins, count(*) AS n FROM per_seed GROUP BY 1, 2, 3)
 SELECT r.task, r.baseline_method, r.metric, round(mp, 6) AS mean_primary_value, round(mb, 6) AS mean_baseline_value, round(100 * (mb - mp) / mb, 4) AS mean_improvement_percent,
   round(wr, 6) AS primary_map_win_rate, round(cm, 6) AS cluster_mean_paired_difference, round(lo, 6) AS difference_ci_low, round(hi, 6) AS difference_ci_high,

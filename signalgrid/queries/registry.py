@@ -23,7 +23,7 @@ class Query:
 REGISTRY: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None, needs: Sequence[str] = ()):
+def query(name: str, sql: str | None = None, needs: Sequence[str] = (), recursive: bool = False):
     """Register a query; `needs` names the driver views its SQL refers to."""
     def wrap(fn: Build) -> Build:
         text = None
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None, needs: Sequence[str] = ()):
             ctes = [f"{v} AS ({views.view_sql(v)})" for v in needs]
             if ctes:
                 # SQL that starts with WITH continues the list of view expressions.
-                head = "WITH " + ", ".join(ctes)
+                head = "WITH " + ("RECURSIVE " if recursive else "") + ", ".join(ctes)
                 text = head + ", " + body[5:] if body[:5].upper() == "WITH " else head + " " + body
             else:
                 text = body

@@ -123,3 +123,13 @@ def point_features(points: DataFrame, protocol: str, walls: Sequence[str], scena
         out = out.withColumn(f"{column}_{value}", (F.col(column) == value).cast("double"))
         names.append(f"{column}_{value}")
     return out, names
+
+
+def survey_features(points: DataFrame, walls: Sequence[str], default_hz: float = 3.5e9) -> tuple[DataFrame, list[str]]:
+    """Forest inputs of survey rows: log distance, frequency, wall counts and a visibility flag."""
+    out = points.withColumn("log10_distance", F.log10(F.greatest("distance_m", F.lit(1e-3)))).withColumn(
+        "frequency_hz", F.coalesce("frequency_hz", F.lit(float(default_hz)))).withColumn(
+        "los_numeric", F.coalesce((F.upper("los_nlos") == "LOS").cast("double"), F.lit(0.0)))
+    for w in walls:
+        out = out.withColumn(w, F.coalesce(F.col(w).cast("double"), F.lit(0.0)))
+    return out, ["log10_distance", "frequency_hz", *walls, "los_numeric"]

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def moments(features: Sequence[str], target: str) -> list[Column]:
@@ -27,7 +28,12 @@ def moments(features: Sequence[str], target: str) -> list[Column]:
     ]
 
 
-@F.pandas_udf("struct<coef:array<double>,intercept:double,design_rank:int>")
+# Spelled out, because a type given as text needs a running session at import.
+SOLUTION = T.StructType([
+    T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()), T.StructField("design_rank", T.IntegerType())])
+
+
+@F.pandas_udf(SOLUTION)
 def _solve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
     for n, y_mean, x_mean, cov, cov_y, alpha in batches:
         if len(n) == 0:
@@ -99,18 +105,36 @@ def log_distance_fits(anchors: DataFrame, keys: Sequence[str], alpha: float = 1e
         F.when(F.col("ax") > 0, 1).otherwise(0).alias("design_rank"), F.col("n").alias("anchor_count"))
 
 
+def physics_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,
+                 x: str = "log_d", y: str = "path_loss") -> DataFrame:
+    """Log-distance and multi-wall ridge of every group from one aggregation.
+
+    The log-distance line uses the first feature's moments. Multi-wall takes over that
+    line, with zero wall losses, where anchors are fewer than max(2, 1 + materials).
+    """
+    need = max(2, 1 + len(material_columns))
+    stats = anchors.groupBy(*keys).agg(*moments([x, *material_columns], y))
+    first = F.try_divide(F.col("n") * F.get("cov_y", F.lit(0)), F.col("n") * F.get("cov", F.lit(0)) + F.lit(float(alpha)))
+    slope = F.when(F.col("n") >= 2, F.coalesce(first, F.lit(0.0))).otherwise(0.0)
+    full = F.col("n") >= need
+    solved = stats.withColumn("ld_slope", slope).withColumn(
+        "ld_intercept", F.col("y_mean") - F.col("ld_slope") * F.get("x_mean", F.lit(0))).withColumn(
+        "fit", _solve("n", "y_mean", "x_mean", "cov", "cov_y", F.lit(float(alpha))))
+    line = F.array("ld_slope", *[F.lit(0.0) for _ in material_columns])
+    return solved.select(
+        *keys, "ld_slope", "ld_intercept", F.when(F.col("n") >= 2, "log_distance").otherwise("constant_mean").alias("ld_status"),
+        F.when(full, F.col("fit.coef")).otherwise(line).alias("mw_coef"),
+        F.when(full, F.col("fit.intercept")).otherwise(F.col("ld_intercept")).alias("mw_intercept"),
+        F.when(full, "multi_wall").otherwise("multi_wall_fallback_log_distance").alias("mw_status"),
+        F.col("fit.design_rank").alias("mw_rank"), F.col("n").alias("anchor_count"))
+
+
 def multi_wall_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,
                     x: str = "log_d", y: str = "path_loss") -> DataFrame:
     """Multi-wall ridge per group, falling back to log-distance when anchors are too few."""
-    features = [x, *material_columns]
-    need = max(2, 1 + len(material_columns))
-    full = ridge_fits(anchors, keys, features, y, alpha).where(f"n >= {need}").select(
-        *keys, F.lit("multi_wall").alias("status"), "coef", "intercept", "design_rank", F.col("n").alias("anchor_count"))
-    short = log_distance_fits(anchors, keys, alpha, x, y).where(f"anchor_count < {need}").select(
-        *keys, F.lit("multi_wall_fallback_log_distance").alias("status"),
-        F.array("slope", *[F.lit(0.0) for _ in material_columns]).alias("coef"),
-        "intercept", "design_rank", "anchor_count")
-    return full.unionByName(short)
+    return physics_fits(anchors, keys, material_columns, alpha, x, y).select(
+        *keys, F.col("mw_status").alias("status"), F.col("mw_coef").alias("coef"), F.col("mw_intercept").alias("intercept"),
+        F.col("mw_rank").alias("design_rank"), "anchor_count")
 
 
 def free_log_distance_fit(points: DataFrame, distance: str, target: str, d0: float = 1.0, alpha: float = 0.0,

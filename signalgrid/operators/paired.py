@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
+from signalgrid.operators.percentiles import exact_percentiles
 from signalgrid.operators.sampling import dense_positions
-from signalgrid.skew import MAX_GROUP_ROWS
+from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
 
 MAP_KEYS = ("task", "sample_id", "building", "antenna", "frequency", "transfer_condition")
 TIE = 1e-12
@@ -85,11 +86,23 @@ def unmatched_maps(averaged: DataFrame, primary: str, baseline: str, keys: Seque
     return sides.groupBy(*keys).agg(F.countDistinct("method").alias("m")).where("m <> 2").drop("m")
 
 
-def win_rates(paired: DataFrame, primary: str) -> DataFrame:
-    """Wins, ties and mean effects overall and per condition, in one pass over grouping sets."""
+def _with_medians(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], value: str, name: str, rows_bound: int | None,
+                  max_group_rows: int) -> DataFrame:
+    """Grouped aggregation plus the exact median of one column, in one pass while groups are small."""
+    if fits_one_task(rows_bound, max_group_rows):
+        return rows.groupBy(*keys).agg(*aggs, F.median(value).alias(name))
+    medians = exact_percentiles(rows, keys, value, {name: 0.5}, max_group_rows)
+    return rows.groupBy(*keys).agg(*aggs).join(medians, list(keys), "left")
+
+
+def _scopes(paired: DataFrame) -> DataFrame:
+    return paired.withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("transfer_condition"))))
+
+
+def win_rates(paired: DataFrame, primary: str, rows_bound: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Wins, ties and mean effects overall and per condition, in one pass over both scopes."""
     ok = F.col("valid_pair")
-    scoped = paired.withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("transfer_condition"))))
-    out = scoped.groupBy("task", "scope", "baseline_method", "metric").agg(
+    out = _with_medians(_scopes(paired), ["task", "scope", "baseline_method", "metric"], [
         F.count(F.lit(1)).alias("num_candidate_maps"), F.count(F.when(ok, 1)).alias("num_valid_maps"),
         F.count(F.when(~ok, 1)).alias("num_missing_pairs"),
         F.count(F.when(F.col("winner") == primary, 1)).alias("primary_map_wins"),
@@ -98,20 +111,19 @@ def win_rates(paired: DataFrame, primary: str) -> DataFrame:
         F.avg(F.when(ok, F.col("primary_value"))).alias("mean_primary_value"),
         F.avg(F.when(ok, F.col("baseline_value"))).alias("mean_baseline_value"),
         F.avg("paired_difference").alias("mean_paired_difference"),
-        F.median("paired_difference").alias("median_paired_difference")).where("num_valid_maps > 0")
+    ], "paired_difference", "median_paired_difference", rows_bound, max_group_rows).where("num_valid_maps > 0")
     return out.withColumn("primary_map_win_rate", F.col("primary_map_wins") / F.col("num_valid_maps")).withColumn(
         "baseline_map_win_rate", F.col("baseline_map_wins") / F.col("num_valid_maps")).withColumn(
         "mean_improvement_percent", improvement_percent("mean_baseline_value", "mean_primary_value"))
 
 
-def building_summary(paired: DataFrame, primary: str) -> DataFrame:
+def building_summary(paired: DataFrame, primary: str, rows_bound: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Per-building effects and winner for every scope."""
-    scoped = paired.where("valid_pair").withColumn("scope", F.explode(F.array(F.lit("overall"), F.col("transfer_condition"))))
-    out = scoped.groupBy("task", "scope", "building", "baseline_method", "metric").agg(
+    out = _with_medians(_scopes(paired.where("valid_pair")), ["task", "scope", "building", "baseline_method", "metric"], [
         F.countDistinct("sample_id").alias("num_valid_maps"), F.avg("primary_value").alias("mean_primary_value"),
         F.avg("baseline_value").alias("mean_baseline_value"), F.avg("paired_difference").alias("mean_paired_difference"),
-        F.median("paired_difference").alias("median_paired_difference"),
-        F.avg((F.col("winner") == primary).cast("double")).alias("primary_map_win_rate"))
+        F.avg((F.col("winner") == primary).cast("double")).alias("primary_map_win_rate"),
+    ], "paired_difference", "median_paired_difference", rows_bound, max_group_rows)
     return out.withColumn("improvement_percent", improvement_percent("mean_baseline_value", "mean_primary_value")).withColumn(
         "building_winner", winner(F.col("mean_paired_difference"), primary))
 

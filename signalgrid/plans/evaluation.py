@@ -26,14 +26,7 @@ def anchor_rows(base_maps: DataFrame, rates: Sequence[float], seeds: Sequence[in
 
 def physics_fits(anchors: DataFrame, alpha: float = 1e-6, materials: Sequence[str] = MATERIALS) -> DataFrame:
     """Log-distance and multi-wall fits side by side, one row per (sample, rate, seed)."""
-    known = sampling.usable_anchors(anchors)
-    log_fit = fits.log_distance_fits(known, SWEEP, alpha).select(
-        *SWEEP, F.col("slope").alias("ld_slope"), F.col("intercept").alias("ld_intercept"),
-        F.col("status").alias("ld_status"), F.col("anchor_count"))
-    wall_fit = fits.multi_wall_fits(known, SWEEP, materials, alpha).select(
-        *SWEEP, F.col("coef").alias("mw_coef"), F.col("intercept").alias("mw_intercept"),
-        F.col("status").alias("mw_status"), F.col("design_rank").alias("mw_rank"))
-    return log_fit.join(wall_fit, list(SWEEP))
+    return fits.physics_fits(sampling.usable_anchors(anchors), SWEEP, materials, alpha)
 
 
 def sweep_cells(base_maps: DataFrame, rates: Sequence[float], seeds: Sequence[int]) -> DataFrame:

@@ -29,6 +29,11 @@ def pairs(spark, sf_dir) -> DataFrame:
     return P.paired_comparisons(averaged(spark, sf_dir), PRIMARY, BASELINES, COLS)
 
 
+def maps_bound(spark, sf_dir) -> int:
+    """Pairs of one (scope, baseline, metric) cannot outnumber the events they come from."""
+    return scan_rows(spark, sf_dir, "events")
+
+
 def _win(d: str) -> str:
     return f"CASE WHEN {d} IS NULL THEN 'missing' WHEN {d} > 1e-12 THEN 'residual_extra' WHEN {d} < -1e-12 THEN 'baseline' ELSE 'tie' END"
 
@@ -66,7 +71,7 @@ RATES_SQL = PAIRED + """, rates AS (SELECT task, scope, baseline_method, metric,
   round(mp, 6) AS mean_primary_value, round(mb, 6) AS mean_baseline_value, round(md, 6) AS mean_paired_difference, round(med, 6) AS median_paired_difference,
   round(100 * (mb - mp) / mb, 4) AS mean_improvement_percent FROM rates WHERE num_valid_maps > 0""", ["run_metrics"])
 def sta3(spark, sf_dir):
-    return tidy(P.win_rates(pairs(spark, sf_dir), PRIMARY), mean_improvement_percent=4)
+    return tidy(P.win_rates(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), mean_improvement_percent=4)
 
 
 BUILDINGS_SQL = PAIRED + f""", buildings AS (SELECT task, scope, building, baseline_method, metric, count(DISTINCT sample_id) AS num_valid_maps, avg(primary_value) AS mp,
@@ -77,7 +82,7 @@ BUILDINGS_SQL = PAIRED + f""", buildings AS (SELECT task, scope, building, basel
   round(mb, 6) AS mean_baseline_value, round(md, 6) AS mean_paired_difference, round(med, 6) AS median_paired_difference, round(wr, 6) AS primary_map_win_rate,
   round(100 * (mb - mp) / nullif(mb, 0), 4) AS improvement_percent, {_win('md')} AS building_winner FROM buildings""", ["run_metrics"])
 def sta4(spark, sf_dir):
-    return tidy(P.building_summary(pairs(spark, sf_dir), PRIMARY), improvement_percent=4)
+    return tidy(P.building_summary(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), improvement_percent=4)
 
 
 BOOT_SQL = BUILDINGS_SQL + f""", clusters AS (SELECT task, scope, baseline_method, metric, building, md, 100 * (mb - mp) / nullif(mb, 0) AS pct,
@@ -98,7 +103,7 @@ boot AS (SELECT *, least(1e0, 2 * (SELECT sum(CASE WHEN i = 0 THEN 1 ELSE exp(lg
 
 
 def bootstrap(spark, sf_dir) -> DataFrame:
-    return P.cluster_bootstrap(P.building_summary(pairs(spark, sf_dir), PRIMARY), ["task", "scope", "baseline_method", "metric"], 1000)
+    return P.cluster_bootstrap(P.building_summary(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), ["task", "scope", "baseline_method", "metric"], 1000)
 
 
 @query("sta5_cluster_bootstrap", BOOT_SQL + """SELECT task, scope, baseline_method, metric, num_buildings, buildings, round(cm, 6) AS cluster_mean_paired_difference,
@@ -148,7 +153,7 @@ SELECT r.task, r.baseline_method, r.metric, round(mp, 6) AS mean_primary_value,
 FROM rates r JOIN boot b ON b.task = r.task AND b.baseline_method = r.baseline_method AND b.metric = r.metric AND b.scope = 'overall'
 JOIN seeds s ON s.task = r.task AND s.baseline_method = r.baseline_method AND s.metric = r.metric""", ["run_metrics"])
 def sta8(spark, sf_dir):
-    out = R.headline(P.win_rates(pairs(spark, sf_dir), PRIMARY), bootstrap(spark, sf_dir), per_seed(spark, sf_dir), PRIMARY)
+    out = R.headline(P.win_rates(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), bootstrap(spark, sf_dir), per_seed(spark, sf_dir), PRIMARY)
     return tidy(out, mean_improvement_percent=4)
 
 

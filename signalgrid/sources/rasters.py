@@ -211,7 +211,7 @@ def positions(files: DataFrame) -> DataFrame:
 
 
 def read_positions(spark: SparkSession, folder: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "Positions_*.csv").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="Positions_*.csv")
     return positions(files.select(F.col("_metadata.file_name").alias("file_name"), "value"))
 
 

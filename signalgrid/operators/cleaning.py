@@ -67,9 +67,9 @@ def wall_mask(reflectance="reflectance", transmittance="transmittance", threshol
 
 
 def usable_point(target="pl_db", distance="distance_m") -> Column:
-    def finite(c):
-        return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    return finite(_c(target)) & finite(_c(distance)) & (_c(distance) > 0)
+    """Finite target and finite positive distance (NaN sorts above infinity)."""
+    d = _c(distance)
+    return F.coalesce((F.abs(_c(target)) < float("inf")) & (d > 0) & (d < float("inf")), F.lit(False))
 
 
 def reject_reason(walls: Sequence[str], anomaly: dict[str, object] | None = None) -> Column:

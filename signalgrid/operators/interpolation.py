@@ -17,7 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+from signalgrid.functions.hashing import HASH_RANGE, stable_hash
+from signalgrid.session import spread
+
+# Pairs evaluated at a time: small enough for the working arrays to stay in cache.
+CHUNK = 1 << 16
 
 
 def _nearest(d2: np.ndarray, k: int) -> np.ndarray:
@@ -50,16 +54,17 @@ def _partials(qx, qy, ax, ay, values, power, eps, k, soft):
         e = min(n, s + step)
         d2 = (qx[s:e, None] - ax[None, :]) ** 2 + (qy[s:e, None] - ay[None, :]) ** 2
         if soft:
-            w = (np.sqrt(d2) + eps) ** -power
+            r = np.sqrt(d2) + eps
+            w = 1.0 / (r * r) if power == 2.0 else r ** -power
         else:
             floored = np.maximum(d2, eps * eps)
             w = 1.0 / floored if power == 2.0 else floored ** (-power / 2.0)
         sums[0, s:e] = w.sum(axis=1)
         for j, v in enumerate(values):
             sums[1 + j, s:e] = w @ v
-        exact = d2 <= eps * eps
-        found = exact.any(axis=1)
-        hit[s:e] = np.where(found, exact.argmax(axis=1), -1)
+        if not soft:
+            exact = d2 <= eps * eps
+            hit[s:e] = np.where(exact.any(axis=1), exact.argmax(axis=1), -1)
         if k:
             idx = _nearest(d2, k)
             near_i[s:e, :idx.shape[1]] = idx
@@ -160,7 +165,9 @@ def anchor_features(queries: DataFrame, anchors: DataFrame, keys: Sequence[str],
 
     reduce_pair, names = _kernel(len(values), float(power), float(eps), int(k), bool(soft))
     blank = F.array().cast("array<double>")
-    reduced = pairs.withColumn("_r", reduce_pair(
+    # A pair is few bytes and much arithmetic, so pairs are dealt out evenly; the pairs of a
+    # hot key go to all tasks.
+    reduced = spread(pairs, *keys, *tile_keys, *block_keys).withColumn("_r", reduce_pair(
         F.col("q")[x].cast("array<double>"), F.col("q")[y].cast("array<double>"), near,
         F.coalesce(F.col("a.ax"), blank), F.coalesce(F.col("a.ay"), blank),
         *[F.coalesce(F.col(f"a.{n}"), blank) for n in names]))
@@ -243,11 +250,9 @@ def point_idw(queries: DataFrame, anchors: DataFrame, keys: Sequence[str], uid:
 
     Points are spread over tiles by hash, with as many tiles as the larger side needs.
     """
-    from signalgrid.functions.hashing import HASH_RANGE, stable_hash
-
-    def spread(df):
+    def piece(df):
         n = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows_per_tile).alias("_pieces"))
         return df.join(n, list(keys)).withColumn(
             "_piece", F.floor(stable_hash(uid) * F.col("_pieces") / HASH_RANGE).cast("int")).drop("_pieces")
-    return anchor_features(spread(queries), spread(anchors), keys, (uid,), [value], [F.col("_piece")], [F.col("_piece")],
+    return anchor_features(piece(queries), piece(anchors), keys, (uid,), [value], [F.col("_piece")], [F.col("_piece")],
                            x=x, y=y, power=2.0, eps=offset, soft=True).drop("_piece")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.functions import pathloss as pl
+from signalgrid.session import spread
 
 TILE = 64
 
@@ -186,7 +187,8 @@ def ray_base_maps(cells: DataFrame, material_ids: Sequence[int] = (1, 2, 3), min
     # Pairs without any wall in the crossed tile add nothing, unless they are the home pair
     # that makes sure every receiver is present in the result.
     pairs = crossed.join(payload, ["sample_id", "over_y", "over_x"], "left").where(home | F.col("pos").isNotNull())
-    traced = pairs.withColumn("ray", trace(
+    dealt = spread(pairs, "sample_id", "tile_y", "tile_x", "over_y", "over_x")
+    traced = dealt.withColumn("ray", trace(
         "ray_x0", "ray_y0", F.col("cells.x"), F.col("cells.y"), F.col("over_x") * tile, F.col("over_y") * tile,
         F.coalesce("pos", empty), F.coalesce("mat", empty), F.coalesce("trans", blank), F.coalesce("refl", blank)))
     keys = ["sample_id", "tile_y", "tile_x"]

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.functions.pathloss import improvement_percent
-from signalgrid.operators.metrics import error_metrics
 from signalgrid.operators.paired import ranked, winner
-from signalgrid.skew import MAX_GROUP_ROWS
+from signalgrid.operators.percentiles import exact_percentiles
+from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
 
 
 def _sides(df: DataFrame, keys: Sequence[str], columns: Sequence[str], baselines: Sequence[str], methods: Sequence[str] | None) -> DataFrame:
@@ -108,15 +108,21 @@ def unmatched_adaptations(pairs: DataFrame) -> DataFrame:
 
 
 def adaptation_gains(pairs: DataFrame, keys: Sequence[str], rows_bound: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Metrics of both sides, gains and point wins per key."""
-    def side(pred, tag):
-        out = error_metrics(pairs, keys, pred, "target_pl_db", std="pop", rows_bound=rows_bound, max_group_rows=max_group_rows)
-        return out.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in ("rmse", "mae", "p90_ae")])
-    ea, eb = F.abs(F.col("pred_pl_db") - F.col("target_pl_db")), F.abs(F.col("baseline_pred_pl_db") - F.col("target_pl_db"))
-    wins = pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("test_count"), F.count(F.when(ea < eb, 1)).alias("adapted_point_wins"),
-        F.count(F.when(eb < ea, 1)).alias("baseline_point_wins"))
-    out = side("pred_pl_db", "adapted").join(side("baseline_pred_pl_db", "baseline"), list(keys)).join(wins, list(keys))
+    """Metrics of both sides, gains and point wins per key, from one aggregation while groups are small."""
+    rows = pairs.withColumn("_a", F.abs(F.col("pred_pl_db") - F.col("target_pl_db"))).withColumn(
+        "_b", F.abs(F.col("baseline_pred_pl_db") - F.col("target_pl_db")))
+    aggs = [
+        F.count(F.lit(1)).alias("test_count"), F.count(F.when(F.col("_a") < F.col("_b"), 1)).alias("adapted_point_wins"),
+        F.count(F.when(F.col("_b") < F.col("_a"), 1)).alias("baseline_point_wins")]
+    sides = (("_a", "adapted"), ("_b", "baseline"))
+    for c, tag in sides:
+        aggs += [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{tag}_rmse"), F.avg(c).alias(f"{tag}_mae")]
+    if fits_one_task(rows_bound, max_group_rows):
+        out = rows.groupBy(*keys).agg(*aggs, *[F.percentile(c, 0.9).alias(f"{tag}_p90_ae") for c, tag in sides])
+    else:
+        out = rows.groupBy(*keys).agg(*aggs)
+        for c, tag in sides:
+            out = out.join(exact_percentiles(rows, keys, c, {f"{tag}_p90_ae": 0.9}, max_group_rows), list(keys), "left")
     for m in ("rmse", "mae", "p90_ae"):
         out = out.withColumn(f"{m}_improvement_percent", improvement_percent(f"baseline_{m}", f"adapted_{m}"))
     return out.withColumn("ties", F.col("test_count") - F.col("adapted_point_wins") - F.col("baseline_point_wins")).withColumn(

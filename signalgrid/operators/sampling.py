@@ -111,7 +111,7 @@ def anchors_outside_valid(anchors: DataFrame, valid_cells: DataFrame) -> DataFra
 
 def usable_anchors(anchors: DataFrame, target: str = "path_loss") -> DataFrame:
     """Anchors whose observed value is a finite number."""
-    return anchors.where(F.col(target).isNotNull() & ~F.isnan(target) & (F.abs(target) != float("inf")))
+    return anchors.where(F.abs(target) < float("inf"))
 
 
 def training_rows(features: DataFrame, max_points: int, seed: int, keys: Sequence[str] = ("sample_id", "rate", "seed"),

@@ -56,6 +56,7 @@ POINT_STEPS = [
     [
         "concat_ws('-', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING),"
         " CAST(l_linenumber AS STRING)) AS coord",
+        "l_orderkey AS reading",
         "CASE l_returnflag WHEN 'A' THEN 'Annex' WHEN 'N' THEN 'North' ELSE 'River' END AS scenario",
         "CASE l_linestatus WHEN 'F' THEN 'C1' ELSE 'C2' END AS config",
         "l_quantity AS distance_m",
@@ -74,7 +75,7 @@ POINT_STEPS = [
         "scenario", "config", "coord",
         "concat('PL_', scenario, '_', config, '.csv') AS source_file",
         "distance_m", "num_brick_wall", "num_wood_wall", "num_glass_wall", "num_drywall", "num_column", "elevator",
-        "1e1 - pl_db AS p_rx_dbm", "pl_db", "rx_x", "rx_y",
+        "1e1 - pl_db AS p_rx_dbm", "pl_db", "rx_x", "rx_y", "reading",
     ],
 ]
 

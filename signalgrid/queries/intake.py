@@ -282,9 +282,9 @@ def prj3(spark, sf_dir):
     return tidy(out.select("scenario", "rx_id", "measured_path_loss_db", "distance_m", "campaign_id", "x_pos"))
 
 
-@query("prj4_numeric_coercion", """SELECT row_uid, CASE WHEN CAST(substr(coord, 1, position('-' IN coord) - 1) AS BIGINT) % 5 = 0 THEN NULL ELSE round(distance_m, 6) END AS value FROM points""", ["points"])
+@query("prj4_numeric_coercion", """SELECT row_uid, CASE WHEN reading % 5 = 0 THEN NULL ELSE round(distance_m, 6) END AS value FROM points""", ["points"])
 def prj4(spark, sf_dir):
-    text = F.when(F.split("coord", "-")[0].cast("bigint") % 5 == 0, "n/a").otherwise(F.col("distance_m").cast("string"))
+    text = F.when(F.col("reading") % 5 == 0, "n/a").otherwise(F.col("distance_m").cast("string"))
     return tidy(views.points(spark, sf_dir).withColumn("t", text).select("row_uid", cleaning.numeric("t").alias("value")))
 
 
@@ -322,23 +322,22 @@ def prj9(spark, sf_dir):
 
 def _dirty(spark, sf_dir):
     """Points with missing targets, non-positive distances and missing walls."""
-    k = F.split("coord", "-")[0].cast("bigint")
-    return views.points(spark, sf_dir).withColumn("k", k).withColumns({
+    return views.points(spark, sf_dir).withColumnRenamed("reading", "k").withColumns({
         "pl_db": F.when(F.col("k") % 101 == 3, None).otherwise(F.col("pl_db")), "distance_m": F.when(F.col("k") % 97 == 2, 0.0).otherwise(F.col("distance_m")),
         "num_drywall": F.when(F.col("k") % 89 == 1, None).otherwise(F.col("num_drywall")), "elevator": F.when(F.col("k") % 83 == 7, None).otherwise(F.col("elevator"))})
 
 
-DIRTY = """d AS (SELECT row_uid, source_file, scenario, CAST(substr(coord, 1, position('-' IN coord) - 1) AS BIGINT) AS k, num_brick_wall FROM points),
-t AS (SELECT *, CASE WHEN k % 101 = 3 OR k % 97 = 2 THEN 'invalid_path_loss_or_distance' WHEN k % 89 = 1 OR k % 83 = 7 THEN 'missing_wall_counts'
+DIRTY = """d AS (SELECT row_uid, source_file, scenario, reading AS k, num_brick_wall, distance_m FROM points),
+t AS (SELECT *, CASE WHEN k % 97 = 2 THEN 0e0 ELSE distance_m END AS d, CASE WHEN k % 101 = 3 OR k % 97 = 2 THEN 'invalid_path_loss_or_distance' WHEN k % 89 = 1 OR k % 83 = 7 THEN 'missing_wall_counts'
   WHEN scenario = 'North' AND num_brick_wall = 3 THEN 'known_anomaly' END AS reason FROM d)"""
 
 
-@query("prj10_row_cleaning", "WITH " + DIRTY + """ SELECT reason AS reject_reason, source_file, count(*) AS "rows", min(row_uid) AS first_uid, max(row_uid) AS last_uid FROM t WHERE reason IS NOT NULL GROUP BY 1, 2
-UNION ALL SELECT 'kept', source_file, count(*), min(row_uid), max(row_uid) FROM t WHERE reason IS NULL GROUP BY 2""", ["points"])
+@query("prj10_row_cleaning", "WITH " + DIRTY + """ SELECT reason AS reject_reason, source_file, count(*) AS "rows", min(d) AS distance_min, max(d) AS distance_max FROM t WHERE reason IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT 'kept', source_file, count(*), min(d), max(d) FROM t WHERE reason IS NULL GROUP BY 2""", ["points"])
 def prj10(spark, sf_dir):
     kept, rejected = campaign.clean(_dirty(spark, sf_dir), {"scenario": "North", "num_brick_wall": 3.0})
-    good = kept.groupBy("source_file").agg(F.lit("kept").alias("reject_reason"), F.count(F.lit(1)).alias("rows"), F.min("row_uid").alias("first_uid"), F.max("row_uid").alias("last_uid"))
-    return campaign.reject_log(rejected).unionByName(good)
+    good = kept.groupBy("source_file").agg(F.lit("kept").alias("reject_reason"), F.count(F.lit(1)).alias("rows"), F.min("distance_m").alias("distance_min"), F.max("distance_m").alias("distance_max"))
+    return tidy(campaign.reject_log(rejected).unionByName(good))
 
 
 @query("prj11_usable_points", "WITH " + DIRTY + " SELECT scenario, count(*) FILTER (k % 101 <> 3 AND k % 97 <> 2) AS kept, count(*) FILTER (k % 101 = 3 OR k % 97 = 2) AS dropped FROM t GROUP BY 1", ["points"])

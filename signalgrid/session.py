@@ -61,3 +61,12 @@ def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
 def table_rows(spark: SparkSession, path: str) -> int:
     """Row count of a Parquet table, answered from its footers."""
     return spark.read.parquet(path).count()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over all shuffle partitions by key.
+
+    For rows that are few and light but cost much compute: adaptive execution would merge
+    their small partitions into a handful of tasks, and leaves a stated number alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -78,7 +78,12 @@ def dense_features(predictions: DataFrame, anchors: DataFrame, density: DataFram
     known = anchors.where(F.col("path_loss").isNotNull()).withColumn("residual", F.col("path_loss") - F.col("multi_wall_pred_db"))
     mean_residual = known.groupBy(*sweep).agg(F.avg("residual").alias("_mean_residual"))
     shaped = interp.raster_idw(predictions, known, ["residual"], sweep, max_rate, power, eps, k)
-    shaped = interp.pad_neighbours(shaped, sweep, k) if k else shaped
+    if k:
+        # Only groups with fewer than k anchors are padded, so only they are searched a second time.
+        short = known.groupBy(*sweep).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") < k).select(*sweep)
+        few = predictions.select(*sweep, "y", "x").join(short, sweep, "left_semi")
+        near = interp.raster_idw(few, known.join(short, sweep, "left_semi"), ["residual"], sweep, max_rate, power, eps, k)
+        shaped = interp.pad_neighbours(shaped, sweep, k, interp.farthest_neighbour(near, sweep, k))
     joined = shaped.join(mean_residual, sweep, "left").join(density, sweep, "left")
     idw = F.coalesce("idw_residual", "_mean_residual", F.lit(0.0))
     out = joined.select(

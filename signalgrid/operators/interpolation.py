@@ -226,11 +226,18 @@ def fill_empty(df: DataFrame, column: str, default: Column) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column), default))
 
 
-def pad_neighbours(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """Fixed-width neighbour block: residual 0 and the group's largest distance plus one where anchors are short."""
+def farthest_neighbour(df: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
+    """Largest neighbour distance over all queries of each group."""
     far = F.greatest(*[F.col(f"nn_dist_{i + 1}") for i in range(k)]) if k > 1 else F.col("nn_dist_1")
-    largest = df.groupBy(*keys).agg(F.max(far).alias("_far"))
-    out = df.join(largest, list(keys))
+    return df.groupBy(*keys).agg(F.max(far).alias("_far"))
+
+
+def pad_neighbours(df: DataFrame, keys: Sequence[str], k: int, farthest: DataFrame | None = None) -> DataFrame:
+    """Fixed-width neighbour block: residual 0 and the group's largest distance plus one where anchors are short.
+
+    `farthest` may bring the distances of just the groups that need padding.
+    """
+    out = df.join(farthest_neighbour(df, keys, k) if farthest is None else farthest, list(keys), "left")
     for i in range(k):
         out = out.withColumn(f"nn_value_{i + 1}", F.coalesce(f"nn_value_{i + 1}", F.lit(0.0))).withColumn(
             f"nn_dist_{i + 1}", F.coalesce(F.col(f"nn_dist_{i + 1}"), F.col("_far") + 1.0, F.lit(0.0)))

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalgrid.operators.percentiles import exact_percentiles
-from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
+from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
+from signalgrid.skew import MAX_GROUP_ROWS, split_hot
 
 CORE = ("rmse", "mae", "median_ae", "p90_ae", "p95_ae", "bias_db", "std_error_db", "count")
 
@@ -84,8 +84,8 @@ def error_metrics(df: DataFrame, keys: Sequence[str], pred: str = "pred", target
     """All error metrics of every key in one grouped aggregation.
 
     Core metrics always; LOS, wall, clipping, non-anchor and free-space families when
-    their columns are named. Percentiles join the same aggregation while groups are
-    known to be small, else they come from `exact_percentiles`.
+    their columns are named. Percentiles join the same aggregation, except in groups too
+    large for one task, where `exact_percentiles` finds them.
     """
     rows = with_error(df, pred, target, valid)
     columns = core_columns(std) + region_columns(target=target, **regions)
@@ -94,21 +94,21 @@ def error_metrics(df: DataFrame, keys: Sequence[str], pred: str = "pred", target
         extra["non_anchor_p90_ae"] = ~F.col(regions["is_anchor"])
     if regions.get("wall"):
         extra["free_space_p90_ae"] = ~F.col(regions["wall"])
-    if fits_one_task(rows_bound, max_group_rows):
-        # All probabilities share one percentile buffer per group.
-        columns.append(F.percentile(F.abs("_e"), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("_p"))
-        columns += [F.percentile(F.when(w, F.abs("_e")), 0.9).alias(n) for n, w in extra.items()]
-        out = rows.groupBy(*keys).agg(*columns)
-        for i, name in enumerate(("median_ae", "p90_ae", "p95_ae")):
-            out = out.withColumn(name, F.get("_p", F.lit(i)))
-        return out.drop("_p")
-    out = rows.groupBy(*keys).agg(*columns)
-    probes = [(F.lit(True), {"median_ae": 0.5, "p90_ae": 0.9, "p95_ae": 0.95})]
-    probes += [(w, {n: 0.9}) for n, w in extra.items()]
-    for where, probs in probes:
-        part = exact_percentiles(rows.where(where).withColumn("_ae", F.abs("_e")), keys, "_ae", probs, max_group_rows)
-        out = out.join(part, list(keys), "left")
-    return out
+    cold, hot = split_hot(rows, keys, rows_bound, max_group_rows)
+    # All probabilities share one percentile buffer per group.
+    probes = [F.percentile(F.abs("_e"), F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("_p")]
+    probes += [F.percentile(F.when(w, F.abs("_e")), 0.9).alias(n) for n, w in extra.items()]
+    out = cold.groupBy(*keys).agg(*columns, *probes)
+    for i, name in enumerate(("median_ae", "p90_ae", "p95_ae")):
+        out = out.withColumn(name, F.get("_p", F.lit(i)))
+    out = out.drop("_p")
+    if hot is None:
+        return out
+    big = hot.groupBy(*keys).agg(*columns)
+    for where, probs in [(F.lit(True), {"median_ae": 0.5, "p90_ae": 0.9, "p95_ae": 0.95}), *[(w, {n: 0.9}) for n, w in extra.items()]]:
+        part = exact_percentiles(hot.where(where).withColumn("_ae", F.abs("_e")), keys, "_ae", probs, max_group_rows)
+        big = null_safe_join(big, part, keys)
+    return out.unionByName(big)
 
 
 def paired_deltas(metrics: DataFrame, keys: Sequence[str], base: str = "multi_wall",

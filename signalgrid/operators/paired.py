@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
-from signalgrid.operators.percentiles import exact_percentiles
+from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
 from signalgrid.operators.sampling import dense_positions
-from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
+from signalgrid.skew import MAX_GROUP_ROWS, split_hot
 
 MAP_KEYS = ("task", "sample_id", "building", "antenna", "frequency", "transfer_condition")
 TIE = 1e-12
@@ -89,10 +89,12 @@ def unmatched_maps(averaged: DataFrame, primary: str, baseline: str, keys: Seque
 def _with_medians(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], value: str, name: str, rows_bound: int | None,
                   max_group_rows: int) -> DataFrame:
     """Grouped aggregation plus the exact median of one column, in one pass while groups are small."""
-    if fits_one_task(rows_bound, max_group_rows):
-        return rows.groupBy(*keys).agg(*aggs, F.median(value).alias(name))
-    medians = exact_percentiles(rows, keys, value, {name: 0.5}, max_group_rows)
-    return rows.groupBy(*keys).agg(*aggs).join(medians, list(keys), "left")
+    cold, hot = split_hot(rows, keys, rows_bound, max_group_rows)
+    out = cold.groupBy(*keys).agg(*aggs, F.median(value).alias(name))
+    if hot is None:
+        return out
+    medians = exact_percentiles(hot, keys, value, {name: 0.5}, max_group_rows)
+    return out.unionByName(null_safe_join(hot.groupBy(*keys).agg(*aggs), medians, keys))
 
 
 def _scopes(paired: DataFrame) -> DataFrame:

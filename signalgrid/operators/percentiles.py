@@ -23,8 +23,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     shrink to one value are answered from the counts alone, so heavy ties cost nothing.
     `df` is read once per round and should be a table, not a long plan.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # One struct key: null key values then compare equal, as they do in a grouping.
+    names, keys = list(keys), ["_g"]
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*names).alias("_g"), F.col(value).cast("double").alias("_v"))
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     wanted = F.explode(F.array(*[
         F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()]))
@@ -57,4 +58,10 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
         below, [*keys, "_fl"]).join(above, [*keys, "_ce"])
     return both.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_q.q") == name, F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.col("_fl")))).alias(name)
-        for name in probs])
+        for name in probs]).select(*[F.col(f"_g.{n}").alias(n) for n in names], *probs)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys where null matches null."""
+    tagged = right.select(F.struct(*keys).alias("_g"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("_g", F.struct(*keys)).join(tagged, "_g", "left").drop("_g")

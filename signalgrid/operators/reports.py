@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from signalgrid.functions.pathloss import improvement_percent
 from signalgrid.operators.paired import ranked, winner
-from signalgrid.operators.percentiles import exact_percentiles
-from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
+from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
+from signalgrid.skew import MAX_GROUP_ROWS, split_hot
 
 
 def _sides(df: DataFrame, keys: Sequence[str], columns: Sequence[str], baselines: Sequence[str], methods: Sequence[str] | None) -> DataFrame:
@@ -117,12 +117,13 @@ def adaptation_gains(pairs: DataFrame, keys: Sequence[str], rows_bound: int | No
     sides = (("_a", "adapted"), ("_b", "baseline"))
     for c, tag in sides:
         aggs += [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{tag}_rmse"), F.avg(c).alias(f"{tag}_mae")]
-    if fits_one_task(rows_bound, max_group_rows):
-        out = rows.groupBy(*keys).agg(*aggs, *[F.percentile(c, 0.9).alias(f"{tag}_p90_ae") for c, tag in sides])
-    else:
-        out = rows.groupBy(*keys).agg(*aggs)
+    cold, hot = split_hot(rows, keys, rows_bound, max_group_rows)
+    out = cold.groupBy(*keys).agg(*aggs, *[F.percentile(c, 0.9).alias(f"{tag}_p90_ae") for c, tag in sides])
+    if hot is not None:
+        big = hot.groupBy(*keys).agg(*aggs)
         for c, tag in sides:
-            out = out.join(exact_percentiles(rows, keys, c, {f"{tag}_p90_ae": 0.9}, max_group_rows), list(keys), "left")
+            big = null_safe_join(big, exact_percentiles(hot, keys, c, {f"{tag}_p90_ae": 0.9}, max_group_rows), keys)
+        out = out.unionByName(big)
     for m in ("rmse", "mae", "p90_ae"):
         out = out.withColumn(f"{m}_improvement_percent", improvement_percent(f"baseline_{m}", f"adapted_{m}"))
     return out.withColumn("ties", F.col("test_count") - F.col("adapted_point_wins") - F.col("baseline_point_wins")).withColumn(

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from signalgrid.functions.hashing import HASH_RANGE, stable_hash
 from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
 
+SLICE_ROWS = 4096
+MAX_SLICES = 65536
+
 
 def take_smallest(df: DataFrame, keys: Sequence[str], size: Callable[[Column], Column], rank: Column,
                   tie: Sequence[str], rows_bound: int | None = None, max_group_rows: int = MAX_GROUP_ROWS,
@@ -19,10 +22,11 @@ def take_smallest(df: DataFrame, keys: Sequence[str], size: Callable[[Column], C
     `rank` must be an integer in [0, 2**32). With `mark`, all rows stay and a boolean
     column of that name tells the chosen ones.
 
-    Small groups are ranked by one window. Without a proof that groups are small the
-    rank range of every group is cut into slices holding about `max_group_rows` rows:
-    slices wholly inside the quota are kept unseen, slices beyond it dropped, and only
-    the slice at the edge is sorted.
+    A small table is ranked by one window. Otherwise the rank range of every group is cut
+    into slices of some thousand rows (65536 slices at most): slices wholly inside the
+    quota are kept unsorted, slices beyond it dropped before any shuffle of whole rows,
+    and only the slice at the edge is sorted. Counting the slices reads the key columns
+    and combines on the map side.
     """
     keys, flag = list(keys), mark or "_chosen"
     ranked = df.withColumn("_rank", rank)
@@ -34,7 +38,8 @@ def take_smallest(df: DataFrame, keys: Sequence[str], size: Callable[[Column], C
         return out if mark else out.where(flag).drop(flag)
 
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
-        *keys, size(F.col("_n")).alias("_k"), F.ceil(F.col("_n") / max_group_rows).alias("_slices"))
+        *keys, size(F.col("_n")).alias("_k"),
+        F.least(F.lit(MAX_SLICES), F.ceil(F.col("_n") / min(SLICE_ROWS, max_group_rows))).alias("_slices"))
     sliced = ranked.join(totals, keys).withColumn(
         "_slice", F.floor(F.col("_rank") * F.col("_slices") / HASH_RANGE))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -131,7 +136,7 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     keys = list(keys)
     if fits_one_task(rows_bound, max_group_rows):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    totals = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_group_rows).alias("_slices"))
+    totals = df.groupBy(*keys).agg(F.least(F.lit(MAX_SLICES), F.ceil(F.count(F.lit(1)) / max_group_rows)).alias("_slices"))
     sliced = df.join(totals, keys).withColumn("_slice", F.floor(stable_hash(*order) * F.col("_slices") / HASH_RANGE))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c")).select(

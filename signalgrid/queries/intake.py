@@ -364,11 +364,11 @@ def prj14(spark, sf_dir):
 GEOMETRY = features.geometry_only(features.feature_names())
 
 
-@query("prj15_feature_allow_lists", D.FEATURES_SQL + "SELECT sample_id, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in GEOMETRY) + " FROM feats GROUP BY 1", ["cells"])
+@query("prj15_feature_allow_lists", D.FEATURES_SQL + "SELECT sample_id, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in GEOMETRY) + " FROM feats GROUP BY 1", ["cells"])
 def prj15(spark, sf_dir):
     table = D.feature_table(spark, sf_dir)
     allowed = features.geometry_only([c for c in table.columns if features.group_of(c) != "other"])
-    return tidy(table.groupBy("sample_id").agg(*[F.avg(c).alias(c) for c in allowed]), 4)
+    return tidy(table.groupBy("sample_id").agg(*[F.avg(c).alias(c) for c in allowed]))
 
 
 @query("prj16_point_features", """SELECT row_uid, round(log10(greatest(distance_m, 1e-3)), 6) AS log10_distance, distance_m, num_brick_wall, num_wood_wall, num_glass_wall, num_drywall, num_column, elevator,

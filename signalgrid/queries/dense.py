@@ -104,13 +104,16 @@ def mth7(spark, sf_dir):
 
 # --- rays ------------------------------------------------------------------------
 
-SEGMENTS = """segs AS (SELECT row_uid, CAST(rx_x AS INT) % 20 AS x0, CAST(floor(rx_y) AS INT) % 20 AS y0,
+# The raster a reading belongs to, by the same rule as the cells view.
+OWN_RASTER = ("concat('B', CAST(s % 5 + 1 AS STRING), '_Ant', CAST(CAST(floor(s / 5e0) AS INT) % 5 + 1 AS STRING),"
+              " '_f', CAST(s % 3 + 1 AS STRING), '_S', CAST(s AS STRING))")
+SEGMENTS = """segs AS (SELECT row_uid, CAST(floor(reading / 4e2) AS INT) AS s, CAST(rx_x AS INT) % 20 AS x0, CAST(floor(rx_y) AS INT) % 20 AS y0,
   CAST(distance_m AS INT) % 20 AS x1, CAST(num_brick_wall * 5 AS INT) AS y1 FROM points)"""
 
 
 def segments(spark, sf_dir):
     return views.points(spark, sf_dir).selectExpr(
-        "row_uid", "CAST(rx_x AS INT) % 20 AS x0", "CAST(floor(rx_y) AS INT) % 20 AS y0",
+        "row_uid", "CAST(floor(reading / 4e2) AS INT) AS s", "CAST(rx_x AS INT) % 20 AS x0", "CAST(floor(rx_y) AS INT) % 20 AS y0",
         "CAST(distance_m AS INT) % 20 AS x1", "CAST(num_brick_wall * 5 AS INT) AS y1")
 
 
@@ -138,18 +141,18 @@ def ray2(spark, sf_dir):
 RAY3_SQL = f"""
 WITH {SEGMENTS}, d AS (SELECT *, abs(x1 - x0) AS dx, abs(y1 - y0) AS dy FROM segs),
 s AS (SELECT *, unnest(range(0, greatest(dx, dy) + 1)) AS step FROM d),
-c AS (SELECT row_uid,
+c AS (SELECT row_uid, {OWN_RASTER} AS sample_id,
   x0 + CASE WHEN x1 >= x0 THEN 1 ELSE -1 END * CASE WHEN dx >= dy THEN step ELSE (2 * step * dx + dy) // greatest(2 * dy, 1) END AS rx,
   y0 + CASE WHEN y1 >= y0 THEN 1 ELSE -1 END * CASE WHEN dx >= dy THEN (2 * step * dy + dx) // greatest(2 * dx, 1) ELSE step END AS ry FROM s),
-w AS (SELECT x, y, material FROM cells WHERE sample_id = 'B1_Ant1_f1_S0' AND material > 0)
+w AS (SELECT sample_id, x, y, material FROM cells WHERE material > 0)
 SELECT row_uid, count(material) AS wall_count, count(material) = 0 AS los, count(*) FILTER (material = 1) AS mat_1_count,
   count(*) FILTER (material = 2) AS mat_2_count, count(*) FILTER (material = 3) AS mat_3_count
-FROM c LEFT JOIN w ON w.x = c.rx AND w.y = c.ry GROUP BY 1"""
+FROM c LEFT JOIN w ON w.sample_id = c.sample_id AND w.x = c.rx AND w.y = c.ry GROUP BY 1"""
 
 
 @query("ray3_line_material_stats", RAY3_SQL, ["points", "cells"])
 def ray3(spark, sf_dir):
-    segs = segments(spark, sf_dir).withColumn("sample_id", F.lit("B1_Ant1_f1_S0"))
+    segs = segments(spark, sf_dir).withColumn("sample_id", F.expr(OWN_RASTER))
     return tidy(rays.segment_material_stats(segs, views.cells(spark, sf_dir), ["row_uid"]))
 
 

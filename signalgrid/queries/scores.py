@@ -238,11 +238,11 @@ def met17(spark, sf_dir):
 
 
 @query("met18_seed_extremes", "SELECT task, method, " + ", ".join(
-    f"round(avg({c}), 6) AS {c}, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp({c}) END, 6) AS {c}_std, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max"
+    f"round(avg({c}), 9) AS {c}, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp({c}) END, 9) AS {c}_std, round(min({c}), 9) AS {c}_min, round(max({c}), 9) AS {c}_max"
     for c in ("rmse", "mae")) + ", count(*) AS num_rows FROM (SELECT task, method, sparse_seed, avg(rmse) AS rmse, avg(mae) AS mae FROM run_metrics GROUP BY 1, 2, 3) GROUP BY 1, 2", ["run_metrics"])
 def met18(spark, sf_dir):
     per_seed = views.run_metrics(spark, sf_dir).groupBy("task", "method", "sparse_seed").agg(F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
-    return tidy(M.mean_std(per_seed, ["task", "method"], ["rmse", "mae"], extremes=True))
+    return tidy(M.mean_std(per_seed, ["task", "method"], ["rmse", "mae"], extremes=True), 9)
 
 
 SUBGROUP = """WITH parsed AS (SELECT *, CAST(regexp_extract(sample_id, '(?:^|_)Ant(\\d+)(?:_|$)', 1) AS INT) AS antenna,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: Folders of local sessions that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "signalgrid") -> SparkSession:
@@ -32,10 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster is a cluster: its executors have folders of their own.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, configured)
+        key = spark.sparkContext.applicationId
+        configured = _LOCAL_FOLDERS.get(key) or _LOCAL_FOLDERS.setdefault(key, tempfile.mkdtemp(prefix="spark-"))
     return configured.rstrip("/")
 
 

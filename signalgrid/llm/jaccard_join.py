@@ -37,7 +37,7 @@ from signalgrid.llm.text import column, list_array, list_parts, mix, shingle_set
 
 SMALL = 64  # sets up to this size are judged on all their shingles
 HASHES = 8
-ALIKE = 0.5
+ALIKE = 0.1
 CHUNK = 512
 
 

@@ -32,6 +32,7 @@ PASSES = 2
 FLOOR = 0.01
 END = 0x5851F42D4C957F2D  # stands for the end symbol among the word hashes
 _P = np.uint64(0x9E3779B97F4A7C55)
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _spell(codes: np.ndarray) -> int:
@@ -56,14 +57,14 @@ class Pieces:
         keys, entry = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
         for i, p in enumerate(pieces):
             h = _spell(np.frombuffer(p, np.uint8))
-            at = (h >> 20) & (size - 1)
+            at = ((h * int(_SPREAD)) & (2**64 - 1)) >> 40 & (size - 1)
             while entry[at] >= 0:
                 at = (at + 1) & (size - 1)
             keys[at], entry[at] = h, i
         return Pieces(keys, entry, size - 1, max(map(len, pieces), default=1))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        at = ((hashes >> np.uint64(20)) & np.uint64(self.mask)).astype(np.int64)
+        at = ((hashes * _SPREAD) >> np.uint64(40) & np.uint64(self.mask)).astype(np.int64)
         out = np.where(self.keys[at] == hashes, self.entry[at], -1)
         # Go on past other keys, as long as any place probed is taken.
         open_ = np.flatnonzero((self.keys[at] != hashes) & (self.entry[at] >= 0))

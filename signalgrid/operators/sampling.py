@@ -128,19 +128,20 @@ def training_rows(features: DataFrame, max_points: int, seed: int, keys: Sequenc
 
 def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_bound: int | None = None,
                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Number the rows of every group 0..n-1.
+    """Number the rows of every group 0..n-1, by the hash of `order` and then `order`.
 
-    Small groups are numbered in `order` by one window. Larger ones are cut into hash
-    slices: the sizes of earlier slices give the offset and only a slice is sorted.
+    Small groups are numbered by one window. Larger ones are cut into hash slices: the
+    sizes of earlier slices give the offset and only a slice is sorted. Slices follow the
+    same hash, so both ways give every row the same number.
     """
     keys = list(keys)
     if fits_one_task(rows_bound, max_group_rows):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(stable_hash(*order), *order)) - 1)
     totals = df.groupBy(*keys).agg(F.least(F.lit(MAX_SLICES), F.ceil(F.count(F.lit(1)) / max_group_rows)).alias("_slices"))
     sliced = df.join(totals, keys).withColumn("_slice", F.floor(stable_hash(*order) * F.col("_slices") / HASH_RANGE))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c")).select(
         *keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(stable_hash(*order), *order)
     return sliced.join(offsets, [*keys, "_slice"]).withColumn(
         name, F.row_number().over(inside) - 1 + F.col("_offset")).drop("_slices", "_slice", "_offset")

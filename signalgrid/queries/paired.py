@@ -157,7 +157,7 @@ def sta8(spark, sf_dir):
     return tidy(out, mean_improvement_percent=4)
 
 
-@query("sta9_bootstrap_mean_ci", f"""WITH rows AS (SELECT method, sample_id, sparse_seed, rmse AS v, row_number() OVER (PARTITION BY method ORDER BY sample_id, sparse_seed) - 1 AS pos,
+@query("sta9_bootstrap_mean_ci", f"""WITH rows AS (SELECT method, sample_id, sparse_seed, rmse AS v, row_number() OVER (PARTITION BY method ORDER BY {sq.hash_sql("sample_id", "CAST(sparse_seed AS VARCHAR)")}, sample_id, sparse_seed) - 1 AS pos,
   count(*) OVER (PARTITION BY method) AS n FROM run_metrics WHERE rmse IS NOT NULL),
 sizes AS (SELECT method, count(*) AS n, avg(v) AS mean FROM rows GROUP BY 1),
 draws AS (SELECT method, n, r.b, unnest(range(0, n)) AS d FROM sizes CROSS JOIN (SELECT range AS b FROM range(200)) r),

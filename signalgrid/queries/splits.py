@@ -45,7 +45,7 @@ def spl2(spark, sf_dir):
     return X.fixed_split_problems(manifest(spark, sf_dir), "scene_id", assignment(spark, sf_dir))
 
 
-@query("spl3_three_way_split", GROUPS + """, t AS (SELECT *, rn <= least(greatest(1, CAST(round_even(n * 2e-1, 0) AS BIGINT)), n - 1) AS test FROM ranked),
+@query("spl3_three_way_split", GROUPS + """, t AS (SELECT *, rn <= least(greatest(1, CAST(round_even(n * 2e-1, 0) AS BIGINT)), n - 2) AS test FROM ranked),
 r AS (SELECT *, row_number() OVER (PARTITION BY test ORDER BY rn) AS rr, count(*) OVER (PARTITION BY test) AS nr FROM t)
 SELECT sample_id, CASE WHEN test THEN 'test' WHEN rr <= least(greatest(1, CAST(round_even(n * 2e-1, 0) AS BIGINT)), nr - 1) THEN 'val' ELSE 'train' END AS side
 FROM manifest JOIN r ON grp = scene_id""", ["manifest"])

@@ -85,3 +85,42 @@ def test_random_fold_both_ways(skewed):
     a = splits.random_fold(rows, "uid", 0.2, 5, 10_000).select("uid", "is_test")
     b = splits.random_fold(rows, "uid", 0.2, 5, None, 100).select("uid", "is_test")
     assert same(a, b)
+
+
+def test_dense_positions_do_not_depend_on_the_plan(skewed):
+    hot = sampling.dense_positions(skewed, ["k"], ["id"], "pos", None, 60).select("k", "id", "pos")
+    small = sampling.dense_positions(skewed, ["k"], ["id"], "pos", 10**6, 10**6).select("k", "id", "pos")
+    assert hot.exceptAll(small).isEmpty() and hot.count() == small.count()
+
+
+def test_three_way_split_leaves_a_group_for_every_side(spark):
+    from signalgrid.operators.splits import three_way_split
+
+    manifest = spark.createDataFrame([(f"g{i}", f"s{i}") for i in range(4)], "scene_id string, sample_id string")
+    sides = {r["side"] for r in three_way_split(manifest, "scene_id", 0.8, 0.2, 1).collect()}
+    assert sides == {"train", "val", "test"}
+
+
+def test_calibration_refuses_unknown_predictions():
+    from signalgrid.operators import features
+
+    assert features.calibration_allowed(["oracle_pred_db", "los", "mat_7_count", "anchor_residual_nn_2", "multi_wall_pred_db"]) == ["los", "mat_7_count", "multi_wall_pred_db"]
+
+
+def test_runs_are_read_by_header(spark, tmp_path):
+    from signalgrid.sources.runs import read_runs
+
+    for run, text in (("run_0", "method,sparse_rate,rmse\nidw,0.01,3.5\n"), ("run_1", "sparse_rate,rmse,method\n0.05,2.5,rf\n")):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "results.csv").write_text(text)
+    got = {(r["source_run"], r["method"], r["sparse_rate"], r["rmse"]) for r in read_runs(spark, [str(tmp_path)]).collect()}
+    assert got == {("run_0", "idw", 0.01, 3.5), ("run_1", "rf", 0.05, 2.5)}
+
+
+def test_forest_scores_rows_with_missing_features(spark):
+    from signalgrid.operators.learners import apply_random_forest, fit_random_forest
+
+    rows = spark.createDataFrame([(float(i), None if i % 4 == 0 else float(i % 7), float(i)) for i in range(80)], "a double, b double, y double")
+    model = fit_random_forest(rows, ["a", "b"], "y", 3, 3)
+    out = apply_random_forest(model, rows, "p")
+    assert out.count() == 80 and out.where("p IS NULL OR isnan(p)").count() == 0

@@ -90,7 +90,7 @@ def log_distance_fits(anchors: DataFrame, keys: Sequence[str], alpha: float = 1e
                       y: str = "path_loss") -> DataFrame:
     """Log-distance ridge per group, in closed form from one aggregate.
 
-    One usable anchor gives a constant. Groups with none are absent and read as 0.
+    One usable anchor gives a constant, of rank 0. Groups with none are absent and read as 0.
     """
     sxx = F.col("n") * F.col("vxx") + F.lit(float(alpha))
     slope = F.when(F.col("n") >= 2, F.try_divide(F.col("n") * F.col("vxy"), sxx)).otherwise(0.0)
@@ -100,9 +100,9 @@ def log_distance_fits(anchors: DataFrame, keys: Sequence[str], alpha: float = 1e
         F.var_pop(x).alias("vxx"), F.covar_pop(x, y).alias("vxy"), F.max(F.abs(x)).alias("ax"))
     return stats.select(
         *keys,
-        F.when(F.col("n") >= 2, "log_distance").otherwise("constant_mean").alias("status"),
+        F.when(F.col("n") >= 2, "log_distance").otherwise("log_distance_fallback_anchor_mean").alias("status"),
         slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"),
-        F.when(F.col("ax") > 0, 1).otherwise(0).alias("design_rank"), F.col("n").alias("anchor_count"))
+        F.when((F.col("n") >= 2) & (F.col("ax") > 0), 1).otherwise(0).alias("design_rank"), F.col("n").alias("anchor_count"))
 
 
 def physics_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,
@@ -120,13 +120,15 @@ def physics_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequ
     solved = stats.withColumn("ld_slope", slope).withColumn(
         "ld_intercept", F.col("y_mean") - F.col("ld_slope") * F.get("x_mean", F.lit(0))).withColumn(
         "fit", _solve("n", "y_mean", "x_mean", "cov", "cov_y", F.lit(float(alpha))))
+    line_has_rank = (F.get("cov", F.lit(0)) > 0) | (F.get("x_mean", F.lit(0)) != 0)
     line = F.array("ld_slope", *[F.lit(0.0) for _ in material_columns])
     return solved.select(
-        *keys, "ld_slope", "ld_intercept", F.when(F.col("n") >= 2, "log_distance").otherwise("constant_mean").alias("ld_status"),
+        *keys, "ld_slope", "ld_intercept", F.when(F.col("n") >= 2, "log_distance").otherwise("log_distance_fallback_anchor_mean").alias("ld_status"),
         F.when(full, F.col("fit.coef")).otherwise(line).alias("mw_coef"),
         F.when(full, F.col("fit.intercept")).otherwise(F.col("ld_intercept")).alias("mw_intercept"),
         F.when(full, "multi_wall").otherwise("multi_wall_fallback_log_distance").alias("mw_status"),
-        F.col("fit.design_rank").alias("mw_rank"), F.col("n").alias("anchor_count"))
+        # The fallback is the log-distance line, and so is its rank.
+        F.when(full, F.col("fit.design_rank")).when((F.col("n") >= 2) & line_has_rank, 1).otherwise(0).alias("mw_rank"), F.col("n").alias("anchor_count"))
 
 
 def multi_wall_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,

@@ -51,7 +51,7 @@ LOG_FITS = """
 log_stats AS (SELECT sample_id, rate, seed, count(*) AS n, avg(log_d) AS mx, avg(path_loss) AS my,
     var_pop(log_d) AS vxx, covar_pop(log_d, path_loss) AS vxy FROM anchors WHERE path_loss IS NOT NULL GROUP BY 1, 2, 3),
 log_fits AS (SELECT sample_id, rate, seed, n AS anchor_count,
-    CASE WHEN n >= 2 THEN 'log_distance' ELSE 'constant_mean' END AS status,
+    CASE WHEN n >= 2 THEN 'log_distance' ELSE 'log_distance_fallback_anchor_mean' END AS status,
     CASE WHEN n >= 2 THEN n * vxy / (n * vxx + 1e-6) ELSE 0 END AS slope,
     my - CASE WHEN n >= 2 THEN n * vxy / (n * vxx + 1e-6) ELSE 0 END * mx AS intercept FROM log_stats)
 """

@@ -6,7 +6,8 @@ encodings of all prefixes: a token t may end prefix j if its bytes end there and
 (last token of the prefix before t, t) is one that the merges leave as it is. Appending
 bytes only adds entries; after an edit, entries are recomputed from the first changed
 byte on. The merges never join bytes across matches of the splitting pattern, so a text
-is a list of such matches, each with its own table.
+is a list of such matches, each with its own table. Tables of many short matches are
+filled together, a column of all of them per step.
 
 Null texts are empty and encode to nothing. Work is per row: nothing is shuffled.
 """
@@ -21,9 +22,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from signalgrid.llm.text import column, mix, slices
 
 CACHE_ENTRIES = 300_000
 PAIR_ENTRIES = 1_000_000
+#: Matches of up to so many bytes are filled together, so many at a time; longer ones one by one.
+SHORT, TOGETHER = 48, 32_768
+#: Base of the rolling hash that finds tokens by their bytes (any odd number); results are compared with the bytes.
+BASE = 0x9E3779B97F4A7C15
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,6 +79,18 @@ class PrefixBpe:
                 self.ends[b[-2:]].append(len(b))
         for sizes in self.ends.values():
             sizes.sort(reverse=True)
+        self.powers = np.array([pow(BASE, n, 2**64) for n in range(SHORT + 1)], np.uint64)
+        short = sorted((b for b in ranks if len(b) <= SHORT), key=len, reverse=True)
+        length = np.array([len(b) for b in short], np.int64)
+        found = self._rolled(short)[length, np.arange(len(short))] if short else np.zeros(0, np.uint64)
+        order = np.argsort(found)
+        self.token_hash, self.token_id = found[order], np.array([ranks[b] for b in short], np.int64)[order]
+        self.may_be = np.zeros(1 << 20, bool)  # whether any token's hash has these leading bits
+        self.may_be[found >> np.uint64(44)] = True
+        self.sizes = np.ones(max(self.size, default=0) + 1, np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
+        # Answers of `keeps` by place; a later pair overwrites an earlier one.
+        self.pair, self.pair_kept = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def merged(self, data: bytes) -> list[int]:
         """Merges applied by rank, leftmost first: the definition, used on single pairs of tokens."""
@@ -108,6 +128,68 @@ class PrefixBpe:
                 raise ValueError(f"no token for byte {data[j - 1]}")
         return last[begin:]
 
+    @staticmethod
+    def _rolled(pieces: list[bytes]) -> np.ndarray:
+        """Hashes of all prefixes: row j has those of the first j bytes of each piece."""
+        width = max(map(len, pieces))
+        flat = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width).T.astype(np.uint64)
+        out = np.zeros((width + 1, len(pieces)), np.uint64)
+        for j in range(width):
+            out[j + 1] = out[j] * np.uint64(BASE) + flat[j] + np.uint64(1)
+        return out
+
+    def keeps_many(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a << 32) | b
+        place = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+        kept, known = self.pair_kept[place], self.pair[place] == key
+        if not known.all():
+            new = np.flatnonzero(~known)
+            distinct, back = np.unique(key[new], return_inverse=True)
+            answers = np.array([self.keeps(k >> 32, k & 0xFFFFFFFF) for k in distinct.tolist()], bool)[back]
+            kept[new] = answers
+            self.pair[place[new]], self.pair_kept[place[new]] = key[new], answers
+        return kept
+
+    def encode_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids (little-endian, 32 bits) of distinct pieces of 1 to SHORT bytes, with all their prefix tables filled in step."""
+        if not pieces:
+            return {}
+        pieces = sorted(pieces, key=len, reverse=True)
+        length = np.array([len(p) for p in pieces], np.int64)
+        rolled, width = self._rolled(pieces), len(pieces[0])
+        last = np.full(rolled.shape, -1, np.int64)
+        for j in range(1, width + 1):
+            open_ = np.arange(np.searchsorted(-length, -j, "right"))
+            for n in range(j, 0, -1):
+                wanted = rolled[j, open_] - rolled[j - n, open_] * self.powers[n]
+                some = np.flatnonzero(self.may_be[wanted >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.token_hash, wanted[some]), len(self.token_hash) - 1)
+                same = self.token_hash[at] == wanted[some]
+                spot, token = open_[some[same]], self.token_id[at[same]]
+                if n < j and len(spot):
+                    kept = self.keeps_many(last[j - n, spot], token)
+                    spot, token = spot[kept], token[kept]
+                if len(spot):
+                    last[j, spot] = token
+                    open_ = open_[last[j, open_] < 0]
+                if not len(open_):
+                    break
+            if len(open_):
+                raise ValueError(f"no token ends {pieces[open_[0]][:j]!r}")
+        steps, at, every = [], length.copy(), np.arange(len(pieces))
+        while at.any():
+            token = np.where(at > 0, last[at, every], -1)
+            steps.append(token)
+            at = np.where(at > 0, at - self.sizes[token], 0)
+        backwards = np.array(steps).T
+        count = (backwards >= 0).sum(axis=1).tolist()
+        out = {}
+        for piece, row, n in zip(pieces, backwards.astype("<u4"), count):
+            ids = row[:n][::-1]
+            same = b"".join(map(self.bytes.__getitem__, ids.tolist())) == piece
+            out[piece] = ids.tobytes() if same else np.array(self.encode_piece(piece), "<u4").tobytes()
+        return out
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else PrefixTable(self, data).tokens()
@@ -147,6 +229,32 @@ class TextEncoder(dict):
     def split(self, text: str) -> bytes:
         return b"".join(self.piece(m) for m in self.match.findall(text))
 
+    def learn(self, texts: list[str]) -> None:
+        """Fill the caches for some texts, their new matches together."""
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        if len(self.pieces) >= CACHE_ENTRIES:
+            self.pieces.clear()
+        words, matches = set(), set()
+        for text in texts:
+            if "  " in text or RUN.search(text):
+                matches.update(self.match.findall(text))
+            else:
+                head, *rest = text.split(" ")
+                words.update(rest)
+                matches.update(self.match.findall(head))
+        cut = {w: self.match.findall(" " + w) for w in words if w not in self and len(w) < 64}
+        for found in cut.values():
+            matches.update(found)
+        new = {m: m.encode("utf-8") for m in matches if len(m) < 64 and m not in self.pieces}
+        short = [b for b in new.values() if len(b) <= SHORT and b not in self.bpe.ranks]
+        for a in range(0, len(short), TOGETHER):
+            ids = self.bpe.encode_many(short[a: a + TOGETHER])
+            for b, got in ids.items():
+                self.pieces[b.decode("utf-8")] = got
+        for word, found in cut.items():
+            self[word] = b"".join(map(self.piece, found))
+
     def __missing__(self, word: str) -> bytes:
         got = self.split(" " + word)
         if len(word) < 64:
@@ -202,21 +310,23 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(shared)
         for batch in batches:
-            n, a, b = [], [], []
-            for text in batch.column(1):
-                ids = enc.encode(text.as_py() or "")
-                n.append(len(ids) // 4)
-                if digests:
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-                else:
-                    a.append(np.frombuffer(ids, "<u4").astype(np.int64))
-            out = [batch.column(0), pa.array(n, pa.int64())]
-            out += [pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int64()))]
-            names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["tokens"])]
-            yield pa.RecordBatch.from_arrays(out, names)
-
-    from pyspark.sql import functions as F
+            for begin, end in slices(column(batch, "text")):
+                part = batch.slice(begin, end - begin)
+                n, a, b = [], [], []
+                texts = [t or "" for t in column(part, "text").to_pylist()]
+                enc.learn(texts)
+                for text in texts:
+                    ids = enc.encode(text)
+                    n.append(len(ids) // 4)
+                    if digests:
+                        a.append(hashlib.sha256(ids).hexdigest())
+                        b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+                    else:
+                        a.append(np.frombuffer(ids, "<u4").astype(np.int64))
+                out = [column(part, "doc_id"), pa.array(n, pa.int64())]
+                out += [pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int64()))]
+                names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["tokens"])]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, schema)
 

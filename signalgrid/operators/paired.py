@@ -11,6 +11,7 @@ from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
 from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
 from signalgrid.operators.sampling import dense_positions
+from signalgrid.session import spread
 from signalgrid.skew import MAX_GROUP_ROWS, split_hot
 
 MAP_KEYS = ("task", "sample_id", "building", "antenna", "frequency", "transfer_condition")
@@ -165,8 +166,9 @@ def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int
         F.count(F.when(F.col("mean_paired_difference") < 0, 1)).alias("baseline_building_wins"),
         F.count(F.when(F.col("mean_paired_difference") == 0, 1)).alias("building_ties"),
     ).withColumn("num_buildings", F.size("c"))
-    draws = packed.select(*keys, "c", "num_buildings", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(
-        *keys, "c", "num_buildings", "b", F.explode(F.sequence(F.lit(0), F.col("num_buildings") - 1)).alias("d"))
+    # Replicates start from a handful of rows; dealt by (keys, b), they are grouped where they lie.
+    dealt = spread(packed.select(*keys, "c", "num_buildings", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")), *keys, "b")
+    draws = dealt.select(*keys, "c", "num_buildings", "b", F.explode(F.sequence(F.lit(0), F.col("num_buildings") - 1)).alias("d"))
     pick = F.get("c", (stable_hash(F.lit(str(seed)), *keys, "b", "d") % F.col("num_buildings")).cast("int"))
     replicates = draws.groupBy(*keys, "b").agg(
         F.avg(pick["mean_paired_difference"]).alias("diff"), F.avg(pick["improvement_percent"]).alias("pct"))
@@ -197,9 +199,10 @@ def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, uid: Seque
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *[u for u in uid if u not in keys], F.col(value).alias("_v"))
     placed = dense_positions(rows, keys, [u for u in uid if u not in keys], "_pos", rows_bound, max_group_rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    draws = sizes.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(
-        *keys, "n", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("d")).select(
-        *keys, "b", (stable_hash(F.lit(str(seed)), *keys, "b", "d") % F.col("n")).cast("int").alias("_pos"))
+    # A group of n rows has the draw numbers 0..n-1 as its positions, so draws start where the rows lie.
+    numbered = null_safe_join(placed.select(*keys, F.col("_pos").alias("d")), sizes, keys)
+    draws = numbered.select(*keys, "n", "d", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(
+        *keys, "b", (stable_hash(F.lit(str(seed)), *keys, "b", "d") % F.col("n")).cast("bigint").alias("_pos"))
     counted = draws.groupBy(*keys, "_pos", "b").agg(F.count(F.lit(1)).alias("_times"))
     means = counted.join(placed, [*keys, "_pos"]).groupBy(*keys, "b").agg(
         (F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("m"))

@@ -160,13 +160,13 @@ def sta8(spark, sf_dir):
 @query("sta9_bootstrap_mean_ci", f"""WITH rows AS (SELECT method, sample_id, sparse_seed, rmse AS v, row_number() OVER (PARTITION BY method ORDER BY {sq.hash_sql("sample_id", "CAST(sparse_seed AS VARCHAR)")}, sample_id, sparse_seed) - 1 AS pos,
   count(*) OVER (PARTITION BY method) AS n FROM run_metrics WHERE rmse IS NOT NULL),
 sizes AS (SELECT method, count(*) AS n, avg(v) AS mean FROM rows GROUP BY 1),
-draws AS (SELECT method, n, r.b, unnest(range(0, n)) AS d FROM sizes CROSS JOIN (SELECT range AS b FROM range(200)) r),
+draws AS (SELECT method, n, r.b, unnest(range(0, n)) AS d FROM sizes CROSS JOIN (SELECT range AS b FROM range(1000)) r),
 picked AS (SELECT method, b, CAST({sq.hash_sql("'42'", "method", "CAST(b AS VARCHAR)", "CAST(d AS VARCHAR)")} AS BIGINT) % n AS pos FROM draws),
 reps AS (SELECT p.method, p.b, avg(r.v) AS m FROM picked p JOIN rows r USING (method, pos) GROUP BY 1, 2),
 ci AS (SELECT method, avg(m) AS bm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY 1)
 SELECT method, n, round(mean, 5) AS mean, round(bm, 5) AS bootstrap_mean, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high FROM sizes JOIN ci USING (method)""", ["run_metrics"])
 def sta9(spark, sf_dir):
-    return tidy(P.bootstrap_mean_ci(views.run_metrics(spark, sf_dir), ["method"], "rmse", ["sample_id", "sparse_seed"], 200,
+    return tidy(P.bootstrap_mean_ci(views.run_metrics(spark, sf_dir), ["method"], "rmse", ["sample_id", "sparse_seed"], 1000,
                                     rows_bound=scan_rows(spark, sf_dir, "events")), 5)
 
 

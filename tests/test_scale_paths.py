@@ -124,3 +124,10 @@ def test_forest_scores_rows_with_missing_features(spark):
     model = fit_random_forest(rows, ["a", "b"], "y", 3, 3)
     out = apply_random_forest(model, rows, "p")
     assert out.count() == 80 and out.where("p IS NULL OR isnan(p)").count() == 0
+
+
+def test_bootstrap_mean_does_not_depend_on_the_plan(skewed):
+    hot = paired.bootstrap_mean_ci(skewed, ["k"], "v", ["id"], 20, rows_bound=None, max_group_rows=60)
+    small = paired.bootstrap_mean_ci(skewed, ["k"], "v", ["id"], 20, rows_bound=10**6)
+    a, b = ({r["k"]: r for r in df.collect()} for df in (hot, small.select(hot.columns)))
+    assert a.keys() == b.keys() and all(x == y or x == pytest.approx(y, abs=1e-9) for k in a for x, y in zip(a[k], b[k], strict=True))

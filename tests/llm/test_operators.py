@@ -265,6 +265,21 @@ def test_line_chunks_passage(spark, odd, none):
     assert line_chunks.remove(none).count() == 0
 
 
+def test_line_chunks_whole(spark):
+    """Exact copies are emptied, and repeated runs of over 50 words go whole, wherever the cuts fall."""
+    texts = [[f"copy {d} line {k} has words" for k in range(d)] for d in range(1, 13)] + [["", "copy with blanks", "", "", "in and around it", ""]]
+    copies = [(100 * c + d, "\n".join(t)) for c in (1, 2, 3) for d, t in enumerate(texts)]
+    runs = [[" ".join(f"r{n}w{k}x{j}" for j in range(52 // n + 1)) for k in range(n)] for n in range(2, 14)] + [["r " * 30, "", "s " * 30]]
+    placed = [(1000 * c + n, "\n".join([f"own {c} {n}", *run, f"end {c} {n}"])) for c in (1, 2, 3) for n, run in enumerate(runs)]
+    lone = [(9001, "one own\nmore\n\nanother own"), (9002, "two own\nmore\n\nelse own")]
+    got = {r["doc_id"]: r for r in line_chunks.remove(spark.createDataFrame(copies + placed + lone, "doc_id bigint, text string")).collect()}
+    for i, text in copies:
+        assert (got[i]["text"], got[i]["emptied"]) == ((text, False) if i < 200 else ("", True))
+    for i, text in placed:
+        assert got[i]["text"] == (text if i < 2000 else f"own {i // 1000} {i % 1000}\nend {i // 1000} {i % 1000}")
+    assert got[9002]["text"].startswith("two own\n") and got[9002]["text"].endswith("else own") and not got[9002]["emptied"]
+
+
 # op7
 
 

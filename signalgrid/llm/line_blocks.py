@@ -6,6 +6,11 @@ and comments count as gaps, and on pages with an article or main element so does
 outside of it. Sums over sliding windows of lines then rise at a surge point and fall to
 nothing at a dive point; all lines between them are kept, however short.
 
+On pages without an article or main element, gaps of skipped elements are closed first where
+both sides lie in the same container (or one side lies in the skipped element's own container
+and the other further down in it). Short stretches beside a kept one in the same container are
+kept, and so are headings right before a kept stretch, even if they are wholly links.
+
 Null or empty pages give an empty text; broken markup (unclosed tags, cut-off pages) is
 read as far as it goes. Each page is one row of work: nothing is shuffled.
 """
@@ -30,11 +35,16 @@ TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?][^>]*+>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+NAMED = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+MAY_HIDE = re.compile(r"hidden|display", re.I)
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+#: Blocks that hold other blocks; all others, such as paragraphs and lists, belong to the one around them.
+CONTAINERS = frozenset("article center div main section td th".split())
 CHROME_TAGS = frozenset("nav header footer aside form menu dialog button select search label fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class, id and role values that mark what is not the article.
@@ -46,10 +56,21 @@ CHROME_WORDS = frozenset(
     " complementary".split())
 
 
+def _hidden(attrs: str) -> bool:
+    """Whether an attribute hides the element; the word in other values or in longer class names says nothing."""
+    for name, a, b, c in NAMED.findall(attrs):
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if (name == "hidden" and value != "false") or (name == "aria-hidden" and value == "true"):
+            return True
+        if (name == "class" and "hidden" in value.split()) or (name == "style" and NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def _marked(attrs: str) -> bool:
     if not attrs:
         return False
-    if HIDDEN.search(attrs):
+    if MAY_HIDE.search(attrs) and _hidden(attrs):
         return True
     for _, a, b, c in ATTR.findall(attrs):
         value = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
@@ -93,8 +114,32 @@ def _partners(events: list[tuple]) -> dict[int, int]:
     return found
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """Lines of text with the length that counts in the distribution; 0 marks a gap."""
+GAP = ("", 0, None, 0)
+
+
+def _join(lines: list[tuple], gaps: list[tuple[int, int, tuple]]) -> list[tuple]:
+    """`lines` without the gaps of skipped elements inside one container."""
+    merged: list[tuple[int, int, list]] = []
+    for a, b, parent in gaps:
+        if merged and merged[-1][1] == a:
+            merged[-1] = (merged[-1][0], b, [*merged[-1][2], parent])
+        else:
+            merged.append((a, b, [parent]))
+    out, at = [], 0
+    for a, b, parents in merged:
+        out += lines[at:a]
+        at = b
+        if a == 0 or b == len(lines):
+            continue
+        x, y = lines[a - 1][2], lines[b][2]
+        if x != y and not all(p and p in (x, y) and x[: len(p)] == y[: len(p)] == p for p in parents):
+            out += lines[a:b]
+    return out + lines[at:]
+
+
+def lines_of(html: str) -> list[tuple]:
+    """Lines of text with the length that counts in the distribution, the containers around them and the level
+    of a heading; length 0 marks a gap."""
     events = _events(html)
     partner = _partners(events)
     bodies = [(i, partner.get(i, len(events))) for i, e in enumerate(events) if e[0] == "open" and e[1] in ("article", "main") and not _marked(e[2])]
@@ -106,7 +151,11 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if (e[1] in CHROME_TAGS or _marked(e[2])) and not any(i < s < partner[i] for s in starts):
             skip.append((i, partner[i]))
     regions = [r for r in bodies if not any(a < r[0] < b for a, b in skip)]
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple] = []
+    gaps: list[tuple[int, int, tuple]] = []
+    opened = {b: a for a, b in partner.items() if events[a][1] in CONTAINERS}
+    path: tuple[int, ...] = ()
+    level, gap_from = 0, (0, ())
     buffer: list[str] = []
     state = {"links": 0, "chars": 0}
     inside, depth, link = 0, 0, 0
@@ -123,9 +172,9 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         text = " ".join(unescape("".join(buffer)).split())
         if text:
             if depth or (regions and not inside):
-                lines.append(("", 0))
+                lines.append(GAP)
             else:
-                lines.append((text, len(text) if regions else max(0, len(text) - state["links"])))
+                lines.append((text, len(text) if regions else max(0, len(text) - state["links"]), path, level))
         buffer.clear()
         state["links"] = 0
 
@@ -136,20 +185,32 @@ def lines_of(html: str) -> list[tuple[str, int]]:
         if edge:
             inside += region_edges.get(i, 0)
             before, depth = depth, depth + skip_edges.get(i, 0)
+            if before == 0 and depth:
+                gap_from = (len(lines), path)
             if (before == 0) != (depth == 0) or i in region_edges:
-                lines += [("", 0)] * WINDOW
+                lines += [GAP] * WINDOW
+            if before and depth == 0:
+                gaps.append((gap_from[0], len(lines), gap_from[1]))
         if e[0] == "text":
             buffer.append(e[1])
             if link:
                 state["links"] += len(e[1])
         elif e[0] == "open":
+            if e[1] in CONTAINERS and i in partner:
+                path = (*path, i)
+            elif e[1] in HEADINGS and i in partner:
+                level = HEADINGS[e[1]]
             link += e[1] == "a" and i in partner
             if e[1] == "br":
                 buffer.append(" ")
         elif e[0] == "close" and e[1] == "a":
             link = max(0, link - 1)
+        elif e[0] == "close" and opened.get(i) in path:
+            path = path[: path.index(opened[i])]
+        elif e[0] == "close" and e[1] in HEADINGS:
+            level = 0
     flush()
-    return lines if not regions else [*lines, ("*", -1)]
+    return _join(lines, gaps) if not regions else [*lines, ("*", -1, None, 0)]
 
 
 def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:
@@ -177,6 +238,27 @@ def spans(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[in
     return found
 
 
+def _kept(lines: list[tuple], lengths: list[int]) -> list[tuple[int, int]]:
+    """Line ranges of a page without an article element: stretches with a surge, short ones beside them in the
+    same container, and the headings that lead to them."""
+    every = spans(lengths, 1)
+    surging = set(spans(lengths, min(SURGE_CHARS, max(distribution(lengths)))))
+    keep = [r in surging for r in every]
+    beside = [bool(lines[a[1] - 1][2]) and lines[a[1] - 1][2] == lines[b[0]][2] for a, b in zip(every, every[1:])]
+    for k, near in enumerate(beside):
+        keep[k + 1] |= near and keep[k]
+    for k, near in reversed(list(enumerate(beside))):
+        keep[k] |= near and keep[k + 1]
+    out = []
+    for (a, b), stays in zip(every, keep):
+        if stays:
+            level = 7
+            while a > 0 and 0 < lines[a - 1][3] < level and lengths[a - 1] == 0:
+                a, level = a - 1, lines[a - 1][3]
+            out.append((a, b))
+    return out
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, one per line."""
     if not html:
@@ -185,10 +267,10 @@ def main_text(html: str | None) -> str:
     structured = bool(lines) and lines[-1][1] == -1
     if structured:
         lines.pop()
-    lengths = [n for _, n in lines]
+    lengths = [x[1] for x in lines]
     if not any(lengths):
         return ""
-    kept = spans(lengths, 1) if structured else spans(lengths, min(SURGE_CHARS, max(distribution(lengths))))
+    kept = spans(lengths, 1) if structured else _kept(lines, lengths)
     return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lines[i][0])
 
 

@@ -54,6 +54,25 @@ def test_main_text():
     assert line_blocks.main_text("just text") == "just text"
 
 
+def test_main_text_without_article():
+    long = ("long words here " * 20).strip()
+    ad, links = "<div class=ad>Buy <a href=1>now</a></div>", "<ul>" + "<li><a href=1>One of them</a>" * 4 + "</ul>"
+    assert line_blocks.main_text(f"<body><div><p>{long}</p>{ad}<p>The end.</p></div></body>") == f"{long}\nThe end."
+    assert line_blocks.main_text(f"<body><p>{long}</p><nav>Menu</nav>{ad}<p>The end.</p></body>") == f"{long}\nThe end."
+    assert line_blocks.main_text(f"<body><div><p>{long}</p>{ad}<div><figure><figcaption>A caption</figcaption></figure></div></div></body>") == f"{long}\nA caption"
+    assert line_blocks.main_text(f"<body><div><p>{long}</p>{links}<p>The end.</p></div></body>") == f"{long}\nThe end."
+    assert line_blocks.main_text(f"<body><div><h1><a href=1>Title</a></h1>{ad}<p>{long}</p></div></body>") == f"Title\n{long}"
+    assert line_blocks.main_text(f"<body><div><p>{long}</p></div>{ad}<div>Powered by X</div></body>") == long
+    assert line_blocks.main_text(f"<body><div>{links}</div><div><p>{long}</p></div></body>") == long
+
+
+def test_hidden():
+    for attrs in ('class="overflow-hidden"', 'title="hidden gems"', "data-hidden=1", 'hidden="false"', 'title="display: none"'):
+        assert line_blocks.main_text(f"<article><p>One.</p><div {attrs}>Two.</div></article>") == "One.\nTwo.", attrs
+    for attrs in ("hidden", 'hidden=""', 'class="a hidden b"', "class=hidden", 'aria-hidden="true"', 'style="color: red; display:none"'):
+        assert line_blocks.main_text(f"<article><p>One.</p><div {attrs}>Two.</div></article>") == "One.", attrs
+
+
 def test_distribution():
     lengths = [0, 5, 0, 0, 0, 40, 50, 0, 0, 0]
     assert line_blocks.distribution(lengths) == [sum(lengths[i: i + 3]) for i in range(10)]

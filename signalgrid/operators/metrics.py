@@ -19,10 +19,16 @@ def finite(c: str | Column) -> Column:
     return F.coalesce(F.abs(c) < float("inf"), F.lit(False))
 
 
+def marked_error(df: DataFrame, pred: str, target: str, valid: str | None = None) -> DataFrame:
+    """All rows, so that no key is lost; `_ok` tells valid rows with a finite target, and `_e` is null on
+    the others and where the prediction is not finite."""
+    ok = finite(target) if valid is None else F.coalesce(F.col(valid), F.lit(False)) & finite(target)
+    return df.withColumn("_ok", ok).withColumn("_e", F.when(F.col("_ok") & finite(pred), F.col(pred) - F.col(target)))
+
+
 def with_error(df: DataFrame, pred: str, target: str, valid: str | None = None) -> DataFrame:
-    """Keep valid rows with a finite target; `_e` is null where the prediction is not finite."""
-    keep = finite(target) if valid is None else F.col(valid) & finite(target)
-    return df.where(keep).withColumn("_e", F.when(finite(pred), F.col(pred) - F.col(target)))
+    """Only valid rows with a finite target."""
+    return marked_error(df, pred, target, valid).where("_ok").drop("_ok")
 
 
 def _rmse(where: Column | None = None) -> Column:
@@ -31,7 +37,7 @@ def _rmse(where: Column | None = None) -> Column:
 
 
 def _region(where: Column, min_pixels: int) -> Column:
-    return F.when(F.count(F.when(where, 1)) >= min_pixels, _rmse(where))
+    return F.when(F.count(F.when(where & F.col("_ok"), 1)) >= min_pixels, _rmse(where))
 
 
 def core_columns(std: str = "samp") -> list[Column]:
@@ -46,7 +52,7 @@ def region_columns(los: str | None = None, wall_count: str | None = None, is_anc
                    wall: str | None = None, target: str | None = None, high_wall_threshold: int = 2,
                    clip_min_db: float | None = None, clip_max_db: float | None = None,
                    min_region_pixels: int = 5) -> list[Column]:
-    """Region metrics; a region's size is counted before predictions are checked."""
+    """Region metrics over rows of `marked_error`; a region's size is counted before predictions are checked."""
     out = []
     if los:
         seen = F.col(los) > 0.5
@@ -55,14 +61,14 @@ def region_columns(los: str | None = None, wall_count: str | None = None, is_anc
         out.append(_rmse(F.col(wall_count) >= high_wall_threshold).alias("high_wall_rmse"))
     if clip_max_db is not None:
         unclipped = F.col(target) < clip_max_db - 1e-5
-        out += [_rmse(unclipped).alias("unclipped_rmse"), F.count(F.when(unclipped, 1)).alias("unclipped_count")]
+        out += [_rmse(unclipped).alias("unclipped_rmse"), F.count(F.when(unclipped & F.col("_ok"), 1)).alias("unclipped_count")]
     if clip_max_db is not None or clip_min_db is not None:
         clipped = F.lit(False)
         if clip_max_db is not None:
             clipped = clipped | (F.col(target) >= clip_max_db - 1e-5)
         if clip_min_db is not None:
             clipped = clipped | (F.col(target) <= clip_min_db + 1e-5)
-        out.append((F.count(F.when(clipped, 1)) / F.count(F.lit(1))).alias("clipped_pixel_fraction"))
+        out.append((F.count(F.when(clipped & F.col("_ok"), 1)) / F.nullif(F.count(F.when(F.col("_ok"), 1)), F.lit(0))).alias("clipped_pixel_fraction"))
     if is_anchor:
         rest = ~F.col(is_anchor)
         out += [_rmse(rest).alias("non_anchor_rmse"), F.avg(F.when(rest, F.abs("_e"))).alias("non_anchor_mae"),
@@ -85,9 +91,10 @@ def error_metrics(df: DataFrame, keys: Sequence[str], pred: str = "pred", target
 
     Core metrics always; LOS, wall, clipping, non-anchor and free-space families when
     their columns are named. Percentiles join the same aggregation, except in groups too
-    large for one task, where `exact_percentiles` finds them.
+    large for one task, where `exact_percentiles` finds them. A key without a valid row
+    with a finite target has counts of 0 and null metrics.
     """
-    rows = with_error(df, pred, target, valid)
+    rows = marked_error(df, pred, target, valid)
     columns = core_columns(std) + region_columns(target=target, **regions)
     extra = {}
     if regions.get("is_anchor"):

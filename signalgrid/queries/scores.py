@@ -51,13 +51,13 @@ def rmse_sql(where: str) -> str:
        + r(f"CASE WHEN count(*) FILTER (los = 1) >= 5 THEN {rmse_sql('los = 1')} END", "los_rmse") + ", "
        + r(f"CASE WHEN count(*) FILTER (los = 0) >= 5 THEN {rmse_sql('los = 0')} END", "nlos_rmse") + TAIL, ["cells"])
 def met2(spark, sf_dir):
-    rows = M.with_error(scored(spark, sf_dir), "pred", "path_loss")
+    rows = M.marked_error(scored(spark, sf_dir), "pred", "path_loss")
     return tidy(rows.groupBy(*KEYS).agg(*M.region_columns(los="los")), 4)
 
 
 @query("met3_high_wall", SCORED + LEAD + r(rmse_sql("wall_count >= 2"), "high_wall_rmse") + TAIL, ["cells"])
 def met3(spark, sf_dir):
-    rows = M.with_error(scored(spark, sf_dir), "pred", "path_loss")
+    rows = M.marked_error(scored(spark, sf_dir), "pred", "path_loss")
     return tidy(rows.groupBy(*KEYS).agg(*M.region_columns(wall_count="wall_count")), 4)
 
 
@@ -65,7 +65,7 @@ def met3(spark, sf_dir):
        + ", count(*) FILTER (path_loss < 5e1 - 1e-5) AS unclipped_count, "
        + r("count(*) FILTER (path_loss >= 5e1 - 1e-5 OR path_loss <= 4e1 + 1e-5) / CAST(count(*) AS DOUBLE)", "clipped_pixel_fraction") + TAIL, ["cells"])
 def met4(spark, sf_dir):
-    rows = M.with_error(scored(spark, sf_dir), "pred", "path_loss")
+    rows = M.marked_error(scored(spark, sf_dir), "pred", "path_loss")
     return tidy(rows.groupBy(*KEYS).agg(*M.region_columns(target="path_loss", clip_min_db=40.0, clip_max_db=50.0)), 4)
 
 
@@ -109,8 +109,10 @@ def met7(spark, sf_dir):
     fitted = ev.physics_fits(taken).select("sample_id", "seed", "anchor_count", "mw_status")
     out = M.error_metrics(scored(spark, sf_dir), KEYS, "pred", "path_loss", rows_bound=D.bound(spark, sf_dir), los="los",
                           wall_count="wall_count", is_anchor="is_anchor", wall="wall")
-    return tidy(out.join(fitted, ["sample_id", "seed"]).select(
-        *KEYS, F.col("count").alias("valid_count"), "non_anchor_count", "rmse", "mae", "p90_ae", "bias_db", "anchor_count", "mw_status"), 4)
+    # Maps without usable anchors have no fit: they keep their row, with no anchors and no status.
+    return tidy(out.join(fitted, ["sample_id", "seed"], "left").select(
+        *KEYS, F.col("count").alias("valid_count"), "non_anchor_count", "rmse", "mae", "p90_ae", "bias_db",
+        F.coalesce("anchor_count", F.lit(0).cast(fitted.schema["anchor_count"].dataType)).alias("anchor_count"), "mw_status"), 4)
 
 
 @query("met8_paired_deltas", FULL_ROW + """
@@ -118,7 +120,7 @@ SELECT method, CAST(seed AS BIGINT) AS seed, sample_id, round(raw - max(raw) FIL
   round(raw - coalesce(max(raw) FILTER (method = 'direct_rf') OVER w, max(raw) FILTER (method = 'log_distance') OVER w), 4) AS rmse_minus_direct_rf
 FROM rows WINDOW w AS (PARTITION BY sample_id, seed)""", ["cells"])
 def met8(spark, sf_dir):
-    rows = M.with_error(scored(spark, sf_dir), "pred", "path_loss").groupBy(*KEYS).agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    rows = M.marked_error(scored(spark, sf_dir), "pred", "path_loss").groupBy(*KEYS).agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
     return tidy(M.paired_deltas(rows, ["sample_id", "seed"], "multi_wall", ("direct_rf", "log_distance")).drop("rmse"), 4)
 
 

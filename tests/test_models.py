@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalgrid.operators import features as FT
-from signalgrid.operators import fits, interpolation as interp, learners, metrics, paired, trees
+from signalgrid.operators import fits, interpolation as interp, learners, metrics, paired, splits, trees
 
 
 def test_slope_recovery(spark):
@@ -90,6 +90,22 @@ def test_regions(spark):
     assert (r.wall_region_rmse, r.free_space_rmse, r.high_wall_rmse, r.clipped_pixel_fraction) == (0.0, 2.0, 2.0, 1.0)
 
 
+def test_keys_without_a_finite_target(spark):
+    rows = [("full", 1.0, 0.0, 1, False, False, 0)] * 6 + [("empty", 1.0, None, 1, False, False, 3)] * 6 + [("empty", 1.0, float("nan"), 0, True, True, 0)] * 6
+    df = spark.createDataFrame(rows, "k string, pred double, target double, los int, anchor boolean, wall boolean, walls int")
+    args = dict(los="los", is_anchor="anchor", wall="wall", wall_count="walls", clip_max_db=160.0, clip_min_db=0.0)
+    for how in (dict(rows_bound=100), dict(max_group_rows=5)):
+        got = {r.k: r.asDict() for r in metrics.error_metrics(df, ["k"], **how, **args).collect()}
+        assert got["full"]["rmse"] == got["full"]["los_rmse"] == got["full"]["clipped_pixel_fraction"] == 1.0 and got["full"]["count"] == 6
+        assert all(v == (0 if n.endswith("count") else None) for n, v in got["empty"].items() if n != "k")
+
+
+def test_group_kfold_keeps_points_without_group(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), ("b", 4)], "g string, v int")
+    got = {r.v: r.fold for r in splits.group_kfold(df, "g", 3).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1] == got[2] and len(set(got.values())) == 3
+
+
 def test_spread_of_single_row_group(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 4.0), (None, 5.0)], "k string, v double")
     got = {r.k: r for r in metrics.mean_std(df, ["k"], ["v"]).collect()}

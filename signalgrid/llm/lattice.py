@@ -255,7 +255,7 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
             break
         cutoff, size = c, size + n
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), cutoff + 1
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 2**63 - 1  # above every count: all words are joined
     table = counts.where(F.col("c") >= cutoff).select("h", "c").toArrow()
     h, c = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
     order = np.argsort(h)

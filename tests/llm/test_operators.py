@@ -344,6 +344,12 @@ def test_lattice():
     assert math.isclose(float(uses @ lengths), size.sum(), rel_tol=1e-6)  # expected pieces spell the words
 
 
+def test_frequent_without_room(spark):
+    counts = spark.createDataFrame([(1, 65_537), (2, 3)], "h bigint, c bigint")
+    h, c, cutoff = lattice.frequent(counts, 0)
+    assert len(h) == len(c) == 0 and counts.where(f"c < {cutoff}").count() == 2
+
+
 def test_scores(docs, odd, none):
     def check(frame, got):
         rows = [(r["doc_id"], r["text"]) for r in frame.collect()]

@@ -82,18 +82,23 @@ def _registry(layouts: tuple[Mapping, ...]) -> dict[str, Mapping]:
 
 def canonical(record: dict, registry: dict[str, Mapping]) -> list[tuple[str, str]] | None:
     """Turns of a record, None for an unknown layout. Fields other than those of the layout make it unknown,
-    but for `id`, which every layout may have."""
+    but for `id`, which every layout may have. So do values of other types than the layout's: messages are
+    objects, roles and texts are strings or null (null: empty)."""
     m = registry.get(fingerprint(paths_of({k: v for k, v in record.items() if k != "id"})))
     if m is None:
         return None
     if m.messages:
         names = dict(m.roles)
+        if not all(isinstance(x, dict) and isinstance(x.get(f), str | None) for x in record[m.messages] for f in (m.role, m.text)):
+            return None
         return [(names.get(x.get(m.role) or "", x.get(m.role) or ""), x.get(m.text) or "") for x in record[m.messages]]
     turns: list[tuple[str, str]] = []
     for role, path in m.fields:
         value = record
         for part in path.split("."):
             value = value.get(part) if isinstance(value, dict) else None
+        if not isinstance(value, str | None):
+            return None
         if path not in m.required and value is None:
             continue
         if turns and turns[-1][0] == role and path not in m.required:

@@ -55,8 +55,8 @@ def _bound(part: float) -> int:
     return min(2**64 - 1, int(part * 2.0**64))
 
 
-def sets(docs: DataFrame, n: int, part: float, full: bool = False) -> DataFrame:
-    """(doc_id, sid, size, tokens): the set's digest, its size, and all its shingles (`full`) or those that
+def sets(docs: DataFrame, n: int, part: float, full: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, sid, size, tokens, *keep): the set's digest, its size, and all its shingles (`full`) or those that
     step 2 looks at: all of sets up to a little over SMALL, else those in the first `part` of the hash range."""
     bound = np.uint64(_bound(part))
 
@@ -67,10 +67,11 @@ def sets(docs: DataFrame, n: int, part: float, full: bool = False) -> DataFrame:
                 sid = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in found]
                 kept = found if full else [s if len(s) <= 2 * SMALL else s[: np.searchsorted(s, bound)] for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sid, pa.int64()), pa.array([len(s) for s in found], pa.int64()), list_array(kept)],
-                    ["doc_id", "sid", "size", "tokens"])
+                    [batch.column(0).slice(a, b - a), pa.array(sid, pa.int64()), pa.array([len(s) for s in found], pa.int64()), list_array(kept),
+                     *[column(batch, c).slice(a, b - a) for c in keep]], ["doc_id", "sid", "size", "tokens", *keep])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, "doc_id bigint, sid bigint, size bigint, tokens array<bigint>")
+    schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *keep).mapInArrow(kernel, "doc_id bigint, sid bigint, size bigint, tokens array<bigint>" + schema)
 
 
 def live_sets(rows: DataFrame, t: int, part: float) -> DataFrame:
@@ -246,8 +247,14 @@ def family_links(members: DataFrame, t: int) -> DataFrame:
 
 def linked(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document: sets of n-word shingles, linked at 100 J >= t."""
+    return families(docs, n, t).drop("root")
+
+
+def families(docs: DataFrame, n: int = 5, t: int = 80, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`linked`, and `root`, a number that the rows of one component share (null without words), and the columns
+    in `keep`. Components of different texts may have one component_id if ids repeat, but never one root."""
     part = min(1.0, (100 - t) / 100 * 2)
-    rows = materialise(sets(docs, n, part), "shingle-sets")
+    rows = materialise(sets(docs, n, part, keep=keep), "shingle-sets")
     live = materialise(live_sets(rows, t, part), "live-sets")
     ids = F.coalesce(F.col("first.doc_id"), F.lit(-(2**63)))
     wanted = live.select("sid", "size", ids.alias("_id"))
@@ -285,9 +292,9 @@ def linked(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     label = each.join(component, each["sid"] == component["node"], "left").withColumn("_root", F.coalesce("root", "sid"))
     least = label.groupBy("_root").agg(F.min("first").alias("component_id"))
     of_set = label.join(least, "_root").join(counts, "sid", "left").select(
-        F.col("sid").alias("_sid"), "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    out = rows.select("doc_id", "sid", F.col("size").alias("n_shingles")).join(of_set, F.col("sid") == F.col("_sid"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+        F.col("sid").alias("_sid"), F.col("_root").alias("root"), "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    out = rows.select("doc_id", "sid", F.col("size").alias("n_shingles"), *keep).join(of_set, F.col("sid") == F.col("_sid"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "root", *keep)
 
 
 def op4_jaccard_join(docs: DataFrame) -> DataFrame:

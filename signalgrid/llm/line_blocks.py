@@ -3,7 +3,9 @@
 Markup is stripped into lines, one per block element. A line's length counts only where
 text can be content: lines of menus, headers, footers, sidebars, notices, adverts, forms
 and comments count as gaps, and on pages with an article or main element so does all
-outside of it. Sums over sliding windows of lines then rise at a surge point and fall to
+outside of it. What is such an element is told by its tag, its role, or a whole name in
+its class or id (`site-footer`, not `share-of-market`); a name that merely has such a word
+in it only takes the weight of links from its lines, so that link lists under it dive. Sums over sliding windows of lines then rise at a surge point and fall to
 nothing at a dive point; all lines between them are kept, however short.
 
 On pages without an article or main element, gaps of skipped elements are closed first where
@@ -18,6 +20,7 @@ read as far as it goes. Each page is one row of work: nothing is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -55,6 +58,12 @@ CHROME_WORDS = frozenset(
     " newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar pagination pager search skip copyright contentinfo"
     " complementary".split())
 
+#: Words that name a place or a box and say nothing about what is in it.
+LAYOUT_WORDS = frozenset(
+    "site page main global top bottom left right side inner outer box container wrapper wrap holder slot area bar block list item items link links"
+    " button buttons icon icons inline sticky fixed mobile desktop primary secondary col column row content posts articles stories form field"
+    " text unit module panel region".split())
+
 
 def _hidden(attrs: str) -> bool:
     """Whether an attribute hides the element; the word in other values or in longer class names says nothing."""
@@ -67,28 +76,34 @@ def _hidden(attrs: str) -> bool:
     return False
 
 
-def _marked(attrs: str) -> bool:
+def _marked(attrs: str) -> int:
+    """2: the element is no article text: it is hidden, or a whole name in class, id or role says so (all of its
+    words do, or name mere layout). 1: some name only has such a word in it, which by itself says nothing. 0: none."""
     if not attrs:
-        return False
+        return 0
     if MAY_HIDE.search(attrs) and _hidden(attrs):
-        return True
+        return 2
+    level = 0
     for _, a, b, c in ATTR.findall(attrs):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()
-        if CHROME_WORDS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        for name in (a or b or c).split():
+            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+            if words & CHROME_WORDS:
+                level = max(level, 2 if words <= CHROME_WORDS | LAYOUT_WORDS else 1)
+    return level
 
 
 def _events(html: str) -> list[tuple]:
     """("text", s), ("open", name, attrs), ("close", name) in page order, without raw elements."""
-    out, at = [], 0
+    out, at, endless = [], 0, set()
     while m := TOKEN.search(html, at):
         if m.start() > at:
             out.append(("text", html[at: m.start()]))
         at = m.end()
         if raw := m["raw"]:
             if not m["rawattrs"].endswith("/"):
-                end = re.compile(rf"</{raw}\b[^>]*>", re.I).search(html, at)
+                end = None if raw.lower() in endless else re.compile(rf"</{raw}\b[^>]*>", re.I).search(html, at)
+                if end is None:
+                    endless.add(raw.lower())  # no later search can find one
                 if end:
                     at = end.end()
                 elif raw.lower() in ("script", "style", "textarea"):
@@ -115,10 +130,12 @@ def _partners(events: list[tuple]) -> dict[int, int]:
 
 
 GAP = ("", 0, None, 0)
+#: The container of what lies in no other.
+ROOT = -1
 
 
-def _join(lines: list[tuple], gaps: list[tuple[int, int, tuple]]) -> list[tuple]:
-    """`lines` without the gaps of skipped elements inside one container."""
+def _join(lines: list[tuple], gaps: list[tuple[int, int, int]], closed: dict[int, int]) -> list[tuple]:
+    """`lines` without the gaps of skipped elements inside one container. closed: where containers, which nest, end."""
     merged: list[tuple[int, int, list]] = []
     for a, b, parent in gaps:
         if merged and merged[-1][1] == a:
@@ -132,7 +149,11 @@ def _join(lines: list[tuple], gaps: list[tuple[int, int, tuple]]) -> list[tuple]
         if a == 0 or b == len(lines):
             continue
         x, y = lines[a - 1][2], lines[b][2]
-        if x != y and not all(p and p in (x, y) and x[: len(p)] == y[: len(p)] == p for p in parents):
+        if x is None or y is None:
+            out += lines[a:b]
+            continue
+        around = lambda p: p <= x and p <= y and closed[p] >= max(closed.get(x, 0), closed.get(y, 0))  # noqa: B023, E731
+        if x != y and not all(p != ROOT and p in (x, y) and around(p) for p in parents):
             out += lines[a:b]
     return out + lines[at:]
 
@@ -142,23 +163,31 @@ def lines_of(html: str) -> list[tuple]:
     of a heading; length 0 marks a gap."""
     events = _events(html)
     partner = _partners(events)
-    bodies = [(i, partner.get(i, len(events))) for i, e in enumerate(events) if e[0] == "open" and e[1] in ("article", "main") and not _marked(e[2])]
+    bodies = [(i, partner.get(i, len(events))) for i, e in enumerate(events) if e[0] == "open" and e[1] in ("article", "main") and _marked(e[2]) < 2]
     starts = sorted(i for i, _ in bodies)
     skip: list[tuple[int, int]] = []
+    faint: list[tuple[int, int]] = []
     for i, e in enumerate(events):
         if e[0] != "open" or i not in partner or e[1] in ("html", "body", "main"):
             continue
-        if (e[1] in CHROME_TAGS or _marked(e[2])) and not any(i < s < partner[i] for s in starts):
+        mark = 2 if e[1] in CHROME_TAGS else _marked(e[2])
+        if mark == 2 and bisect_right(starts, i) == bisect_left(starts, partner[i]):
             skip.append((i, partner[i]))
-    regions = [r for r in bodies if not any(a < r[0] < b for a, b in skip)]
+        elif mark == 1:
+            faint.append((i, partner[i]))
+    covered, ends = [], []  # the skipped elements' starts, and how far any of them reaches so far
+    for a, b in skip:
+        covered.append(a)
+        ends.append(max(b, ends[-1] if ends else 0))
+    regions = [r for r in bodies if not (k := bisect_left(covered, r[0])) or ends[k - 1] <= r[0]]
     lines: list[tuple] = []
-    gaps: list[tuple[int, int, tuple]] = []
+    gaps: list[tuple[int, int, int]] = []
     opened = {b: a for a, b in partner.items() if events[a][1] in CONTAINERS}
-    path: tuple[int, ...] = ()
-    level, gap_from = 0, (0, ())
+    path, open_, closed = [ROOT], {ROOT}, {}
+    level, gap_from = 0, (0, ROOT)
     buffer: list[str] = []
     state = {"links": 0, "chars": 0}
-    inside, depth, link = 0, 0, 0
+    inside, depth, link, doubt = 0, 0, 0, 0
     region_edges: dict[int, int] = {}
     for a, b in regions:
         region_edges[a] = region_edges.get(a, 0) + 1
@@ -168,25 +197,32 @@ def lines_of(html: str) -> list[tuple]:
         skip_edges[a] = skip_edges.get(a, 0) + 1
         skip_edges[b] = skip_edges.get(b, 0) - 1
 
+    faint_edges: dict[int, int] = {}
+    for a, b in faint:
+        faint_edges[a] = faint_edges.get(a, 0) + 1
+        faint_edges[b] = faint_edges.get(b, 0) - 1
+
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split())
         if text:
             if depth or (regions and not inside):
                 lines.append(GAP)
             else:
-                lines.append((text, len(text) if regions else max(0, len(text) - state["links"]), path, level))
+                # Links count as text inside an article, but where a name casts doubt on them.
+                lines.append((text, len(text) if regions and not doubt else max(0, len(text) - state["links"]), path[-1], level))
         buffer.clear()
         state["links"] = 0
 
     for i, e in enumerate(events):
         edge = i in region_edges or i in skip_edges
-        if edge or (e[0] != "text" and (e[0] == "gap" or e[1] in BLOCKS)):
+        if edge or i in faint_edges or (e[0] != "text" and (e[0] == "gap" or e[1] in BLOCKS)):
             flush()
+        doubt += faint_edges.get(i, 0)
         if edge:
             inside += region_edges.get(i, 0)
             before, depth = depth, depth + skip_edges.get(i, 0)
             if before == 0 and depth:
-                gap_from = (len(lines), path)
+                gap_from = (len(lines), path[-1])
             if (before == 0) != (depth == 0) or i in region_edges:
                 lines += [GAP] * WINDOW
             if before and depth == 0:
@@ -197,7 +233,8 @@ def lines_of(html: str) -> list[tuple]:
                 state["links"] += len(e[1])
         elif e[0] == "open":
             if e[1] in CONTAINERS and i in partner:
-                path = (*path, i)
+                path.append(i)
+                open_.add(i)
             elif e[1] in HEADINGS and i in partner:
                 level = HEADINGS[e[1]]
             link += e[1] == "a" and i in partner
@@ -205,12 +242,18 @@ def lines_of(html: str) -> list[tuple]:
                 buffer.append(" ")
         elif e[0] == "close" and e[1] == "a":
             link = max(0, link - 1)
-        elif e[0] == "close" and opened.get(i) in path:
-            path = path[: path.index(opened[i])]
+        elif e[0] == "close" and opened.get(i) in open_:
+            while path[-1] != ROOT and (path[-1] in open_):
+                last = path.pop()
+                open_.discard(last)
+                closed[last] = i
+                if last == opened[i]:
+                    break
         elif e[0] == "close" and e[1] in HEADINGS:
             level = 0
     flush()
-    return _join(lines, gaps) if not regions else [*lines, ("*", -1, None, 0)]
+    closed |= {p: len(events) + len(path) - k for k, p in enumerate(path)}  # never closed: by depth
+    return _join(lines, gaps, closed) if not regions else [*lines, ("*", -1, None, 0)]
 
 
 def distribution(lengths: list[int], window: int = WINDOW) -> list[int]:

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from signalgrid.llm.text import column, mix, slices
 
-CACHE_ENTRIES = 300_000
-PAIR_ENTRIES = 1_000_000
+#: Entries (some 200 bytes each) of the younger of two generations of a cache; slices are learned whole, so one may exceed it.
+GENERATION = 40_000
+#: Answers on single pairs of tokens; the tables of many matches keep theirs in arrays of a fixed size.
+PAIR_ENTRIES = 40_000
 #: Matches of up to so many bytes are filled together, so many at a time; longer ones one by one.
 SHORT, TOGETHER = 48, 32_768
 #: Base of the rolling hash that finds tokens by their bytes (any odd number); results are compared with the bytes.
@@ -145,7 +147,8 @@ class PrefixBpe:
         if not known.all():
             new = np.flatnonzero(~known)
             distinct, back = np.unique(key[new], return_inverse=True)
-            answers = np.array([self.keeps(k >> 32, k & 0xFFFFFFFF) for k in distinct.tolist()], bool)[back]
+            pairs = ((k >> 32, k & 0xFFFFFFFF) for k in distinct.tolist())
+            answers = np.array([self.merged(self.bytes[x] + self.bytes[y]) == [x, y] for x, y in pairs], bool)[back]
             kept[new] = answers
             self.pair[place[new]], self.pair_kept[place[new]] = key[new], answers
         return kept
@@ -201,12 +204,37 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUN = re.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
 
 
-class TextEncoder(dict):
+class Cache(dict):
+    """A mapping in two generations. `turn` makes the entries the old generation once they are many;
+    what is used again moves to the young one, and the rest goes with the next turn."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self) > GENERATION:
+            self.old = dict(self)
+            self.clear()
+
+    def recalled(self, key) -> bool:
+        if key in self:
+            return True
+        if key in self.old:
+            self[key] = self.old[key]
+            return True
+        return False
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
+
+class TextEncoder(Cache):
     """Token bytes of whole texts; as a mapping, of a space followed by the key.
 
     A text without long runs of white space is cut at its spaces, where the pattern always
-    starts a new match; other texts are split by the pattern itself. Cached results are
-    dropped when the bound is reached."""
+    starts a new match; other texts are split by the pattern itself."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -214,16 +242,14 @@ class TextEncoder(dict):
         super().__init__()
         self.bpe = PrefixBpe(ranks)
         self.match = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Cache()
 
     def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            got = np.array(self.bpe.encode_piece(text.encode("utf-8")), "<u4").tobytes()
-            if len(text) < 64:
-                self.pieces[text] = got
+        if self.pieces.recalled(text):
+            return self.pieces[text]
+        got = np.array(self.bpe.encode_piece(text.encode("utf-8")), "<u4").tobytes()
+        if len(text) < 64:
+            self.pieces[text] = got
         return got
 
     def split(self, text: str) -> bytes:
@@ -231,10 +257,8 @@ class TextEncoder(dict):
 
     def learn(self, texts: list[str]) -> None:
         """Fill the caches for some texts, their new matches together."""
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.pieces.clear()
+        self.turn()
+        self.pieces.turn()
         words, matches = set(), set()
         for text in texts:
             if "  " in text or RUN.search(text):
@@ -243,10 +267,10 @@ class TextEncoder(dict):
                 head, *rest = text.split(" ")
                 words.update(rest)
                 matches.update(self.match.findall(head))
-        cut = {w: self.match.findall(" " + w) for w in words if w not in self and len(w) < 64}
+        cut = {w: self.match.findall(" " + w) for w in words if len(w) < 64 and not self.recalled(w)}
         for found in cut.values():
             matches.update(found)
-        new = {m: m.encode("utf-8") for m in matches if len(m) < 64 and m not in self.pieces}
+        new = {m: m.encode("utf-8") for m in matches if len(m) < 64 and not self.pieces.recalled(m)}
         short = [b for b in new.values() if len(b) <= SHORT and b not in self.bpe.ranks]
         for a in range(0, len(short), TOGETHER):
             ids = self.bpe.encode_many(short[a: a + TOGETHER])
@@ -255,6 +279,12 @@ class TextEncoder(dict):
         for word, found in cut.items():
             self[word] = b"".join(map(self.piece, found))
 
+    def release(self) -> None:
+        """Drop what was learned; the vocabulary's tables stay."""
+        self.forget()
+        self.pieces.forget()
+        self.bpe.stable.clear()
+
     def __missing__(self, word: str) -> bytes:
         got = self.split(" " + word)
         if len(word) < 64:
@@ -263,8 +293,6 @@ class TextEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
         if "  " in text or RUN.search(text):
             return self.split(text)
         head, *rest = text.split(" ")
@@ -278,7 +306,7 @@ _ENCODERS: dict[int, TextEncoder] = {}
 
 
 def encoder_of(shared) -> TextEncoder:
-    """One encoder, with its cache, per worker process and broadcast vocabulary."""
+    """One encoder per worker process and broadcast vocabulary; tasks release what it learned."""
     if shared.id not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.id] = TextEncoder(*shared.value)
@@ -327,6 +355,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                 out += [pa.array(a, pa.string()), pa.array(b, pa.string())] if digests else [pa.array(a, pa.list_(pa.int64()))]
                 names = ["doc_id", "n_tokens", *(["ids_sha256", "decoded_sha256"] if digests else ["tokens"])]
                 yield pa.RecordBatch.from_arrays(out, names)
+        enc.release()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, schema)
 

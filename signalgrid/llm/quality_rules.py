@@ -28,7 +28,6 @@ STOP_WORDS = (
 #: Rules of the verdict: measure, comparison that rejects, threshold. A text is kept when none applies.
 RULES: tuple[tuple[str, str, float], ...] = (
     ("n_words", "<", 20),
-    ("n_words", ">", 1_000_000),
     ("mean_word_length", "<", 2.0),
     ("mean_word_length", ">", 25.0),
     ("symbol_ratio", ">", 0.2),
@@ -73,7 +72,6 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the base measures and the ratios that the rules use."""
     value = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(value, "\n"), lambda x: F.length(F.translate(x, " \t\u000b\f\r", "")) > 0)
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     caps = F.length(value) - F.length(F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
     with_words = docs.withColumn("_words", white_words(F.col(text)))
     counted = with_words.select(
@@ -87,7 +85,6 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("bigint").alias("n_stop_words"),
         caps.cast("bigint").alias("n_capitals"),
     )
-    del stop
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return counted.select(
         "*", per("word_chars", "n_words").alias("mean_word_length"), per("n_symbols", "n_words").alias("symbol_ratio"),

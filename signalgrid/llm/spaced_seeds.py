@@ -50,7 +50,7 @@ class Block:
     seed: np.ndarray
     item: np.ndarray
     at: np.ndarray
-    runs: dict[int, dict[int, int]]  # items shorter than a window: length -> hash of all words -> item
+    runs: dict[int, dict[int, list[int]]]  # items shorter than a window: length -> hash of all words -> items
 
 
 def build_block(items: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...]) -> Block:
@@ -59,7 +59,7 @@ def build_block(items: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...]
     span = max(m[-1] for m in masks) + 1
     for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
         if 0 < b - a < span:
-            runs.setdefault(b - a, {}).setdefault(int(chained(words.hash[a:b], b - a)[0]), i)
+            runs.setdefault(b - a, {}).setdefault(int(chained(words.hash[a:b], b - a)[0]), []).append(i)
         for mask in masks if b - a >= span else ():
             found = seeds(words.hash[a:b], mask)
             seed.append(found)
@@ -68,13 +68,13 @@ def build_block(items: list[tuple[int, str]], masks: tuple[tuple[int, ...], ...]
     seed = np.concatenate(seed) if seed else np.zeros(0, np.uint64)
     order = np.argsort(seed, kind="stable")
     pick = lambda x: np.concatenate(x)[order] if x else np.zeros(0, np.int64)
-    return Block(np.array([k for k, _ in items], np.int64), words.hash, words.first, seed[order], pick(item), pick(at), runs)
+    return Block(np.array([k for k, _ in items], object), words.hash, words.first, seed[order], pick(item), pick(at), runs)
 
 
 def blocks(benchmark: DataFrame, masks: tuple[tuple[int, ...], ...], most: int = BLOCK_SEEDS) -> Iterator[Block]:
     """The items in blocks of bounded size, one block on the driver at a time."""
     items, count = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         n = len(masks) * (len(row["text"] or "") // 2 + 1)
         if items and count + n > most:
             yield build_block(items, masks)
@@ -126,7 +126,7 @@ def hits(words: Words, block: Block, masks: tuple[tuple[int, ...], ...], least:
             d = int(np.searchsorted(words.first, p, "right") - 1)
             if p + n <= words.first[d + 1]:
                 begin = p - int(words.first[d])
-                out.setdefault(d, []).append((known[int(found[p])], begin, begin + n, n))
+                out.setdefault(d, []).extend((item, begin, begin + n, n) for item in known[int(found[p])])
     return out
 
 
@@ -135,7 +135,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
     """`docs` plus `items` (ids of the items found), `n_overlaps`, `overlap_words` (longest overlap) and `contaminated`.
 
     A text is contaminated by an item when they agree, substitutions aside, over `least` words
-    or over the whole of a shorter item."""
+    or over the whole of a shorter item. Items without an id are searched as well and count in
+    n_overlaps and overlap_words, not in `items`; items without words match nothing."""
     kept = [c for c in docs.columns if c.lower() not in ("items", "n_overlaps", "overlap_words", "contaminated")]
     context = docs.sparkSession.sparkContext
     schema = docs.select(*kept, F.array(F.lit(0).cast("bigint")).alias("items"), F.lit(0).cast("bigint").alias("n_overlaps"),
@@ -150,7 +151,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
                 for a, b in slices(column(batch, "text")):
                     part = batch.slice(a, b - a)
                     found = hits(split_words(column(part, "text"), NOT_ALNUM), block, masks, least, share)
-                    items = [np.unique(block.ids[[h[0] for h in found[d]]]) if d in found else np.zeros(0, np.int64) for d in range(b - a)]
+                    items = [np.array(sorted({block.ids[h[0]] for h in found.get(d, ())} - {None}), np.int64) for d in range(b - a)]
                     counts = [len(found.get(d, ())) for d in range(b - a)]
                     longest = [max((h[2] - h[1] for h in found.get(d, ())), default=0) for d in range(b - a)]
                     yield pa.RecordBatch.from_arrays([*[column(part, c) for c in kept], list_array(items), pa.array(counts, pa.int64()), pa.array(longest, pa.int64())], schema.names)

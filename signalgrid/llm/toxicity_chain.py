@@ -21,7 +21,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgrid.llm.tables import materialise
@@ -168,8 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], sample: int
         *[F.max(c).alias(c) for c in chain])
     # The smallest hashes of the ids: the same rows on every run. Only ids and labels are sorted.
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).dropDuplicates(["doc_id"]).select(
-        "doc_id", *chain, terms(F.col("text")).alias("terms"), F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
+    # Of documents with one id, the text with the smallest hash counts; no whole text is sorted.
+    rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["_id"]).select("doc_id", *chain, F.sha2("text", 256).alias("_h"), terms(F.col("text")).alias("terms"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("_h"))).where("_n = 1").select(
+        "doc_id", *chain, "terms", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [b for b in batches if b.num_rows]

@@ -31,3 +31,10 @@ def test_odd_rows_pass_through(spark, odd, none):
 def test_run(spark):
     got = p.run(spark, SF_DIR)
     assert got.columns == ["doc_id", "n_tokens", "tokens"] and 0 < got.count() <= 200
+
+
+def test_near_copies_with_clashing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a), (5, b), (9, "z only"), (None, a), (7, None), (6, b + " tail"), (6, a + " tail")]
+    got = p.near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF_DIR)
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, a), (5, b), (9, "z only"), (None, a), (7, None)]))

@@ -221,3 +221,63 @@ def test_vector_codes_empty_and_large(spark):
     assert op13_vector_codes(spark.createDataFrame([(1, None, 1)], kind)).count() == 0
     with pytest.raises(Exception, match="a component of"):
         op13_vector_codes(spark.createDataFrame([(1, [3e6] * 16, 1)], kind)).collect()
+
+
+# earlier operators: odd values
+
+
+def test_article_keeps_what_a_name_only_hints_at():
+    from signalgrid.llm.line_blocks import main_text
+
+    page = ('<article><h2 class="section-header">Results</h2><p>One.</p><div class="share-of-market"><p>Two.</p></div><p class="text-banner-free">Three.</p>'
+            '<section class="related-work">Four.</section><div id="comment-on-policy">Five</div><div class="site-footer">no</div><div class="share-buttons">no</div>'
+            '<ul class="related-to-this"><li><a href=1>no</a><li><a href=2>no</a></ul></article>')
+    assert main_text(page) == "Results\nOne.\nTwo.\nThree.\nFour.\nFive"
+
+
+def test_deep_nesting_needs_linear_memory():
+    import tracemalloc
+
+    from signalgrid.llm.line_blocks import main_text
+
+    tracemalloc.start()
+    assert main_text("<div>x" * 20000 + "</div>" * 20000).count("x") == 20000
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_records_with_other_value_types(spark):
+    from signalgrid.llm.chat_format import format_records
+
+    records = ['{"messages":["hi"]}', '{"prompt":5,"completion":"x"}', '{"messages":[{"role":"user","content":5}]}', '{"messages":[{"role":"user","content":"a"},"b"]}',
+               '{"data":{"question":[],"answer":"x"}}', "[]", "5", "null", None, "{", '{"messages":[{"role":"user","content":null}]}']
+    got = format_records(spark.createDataFrame(list(enumerate(records)), "conv_id bigint, record string"))
+    assert {r["conv_id"]: r["formatted"] is not None for r in got.collect()} == {i: i == 10 for i in range(len(records))}
+
+
+def test_benchmark_items_without_id_and_equal_short_items(spark):
+    from signalgrid.llm.spaced_seeds import contaminated
+
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"before {item} after"), (2, "some short item here"), (3, "clean")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, item), (7, "short item"), (8, "Short, item!"), (9, ""), (None, None)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["contaminated"], sorted(r["items"]), r["n_overlaps"]) for r in contaminated(docs, bench).collect()}
+    assert got == {1: (True, [], 1), 2: (True, [7, 8], 2), 3: (False, [], 0)}
+
+
+def test_caches_stay_small():
+    import public_tokenizers
+    import tiktoken
+
+    from signalgrid.llm import prefix_bpe
+
+    ranks = prefix_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    enc, rng = prefix_bpe.TextEncoder(ranks, public_tokenizers.PATTERN), random.Random(1)
+    for _ in range(4):
+        text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30000))
+        enc.learn([text])
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.encode_ordinary(text)
+        assert len(enc) + len(enc.old) <= 2 * prefix_bpe.GENERATION + 2 * 30000 and len(enc.bpe.stable) <= prefix_bpe.PAIR_ENTRIES
+    enc.release()
+    assert not enc and not enc.old and not enc.pieces and not enc.pieces.old

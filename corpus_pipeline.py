@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalgrid.llm.jaccard_join import linked
+from signalgrid.llm.jaccard_join import families
 from signalgrid.llm.line_chunks import remove
 from signalgrid.llm.prefix_bpe import encode
 from signalgrid.llm.spaced_seeds import contaminated
@@ -28,11 +28,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Repeated rows become one;
-    rows without an id stay."""
-    groups = linked(docs, SHINGLE_WORDS, SIMILARITY)
-    copies = groups.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One document of each group of near copies: the one with the smallest id, and of rows with that id the
+    one whose text has the smallest digest. A row is known by its id and its text's digest, so rows that share
+    an id with a copy stay. Repeated rows become one; rows without an id stay."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    keyed = docs.withColumn("_digest", digest)
+    groups = materialise(families(keyed, SHINGLE_WORDS, SIMILARITY, ("_digest",)), "near-groups").where("doc_id is not null and root is not null")
+    first = Window.partitionBy("root").orderBy("_digest")  # rows of one id: few, whatever the size of the group
+    later = groups.where("doc_id = component_id").select("root", "doc_id", "_digest").distinct().withColumn("_n", F.row_number().over(first)).where("_n > 1")
+    copies = groups.where("doc_id <> component_id").select("doc_id", "_digest").unionByName(later.select("doc_id", "_digest")).distinct()
+    return keyed.join(copies, ["doc_id", "_digest"], "left_anti").dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

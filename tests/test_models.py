@@ -148,7 +148,7 @@ def test_trees_partition_rows_and_respect_leaf_size(grown):
 def test_tree_predictions_agree_and_learn(grown):
     df, model = grown
     a = trees.predict_extra_trees(model, df, ["id"], "p", "m")
-    b = trees.predict_extra_trees(model, df, ["id"], "p", "m", max_broadcast_nodes=1)
+    b = trees.predict_extra_trees(model, df, ["id"], "p", "m", sent_bytes=1)
     pa, pb = {r.id: r.p for r in a.collect()}, {r.id: r.p for r in b.collect()}
     assert pa == pytest.approx(pb)
     err = a.where("m = 0").select(F.avg(F.abs(F.col("p") - F.col("y"))).alias("e")).first().e
@@ -162,6 +162,55 @@ def test_trees_are_reproducible(spark, grown):
     assert sorted(map(tuple, model.nodes.select(key).collect()), key=str) == sorted(map(tuple, again.nodes.select(key).collect()), key=str)
 
 
+@pytest.mark.parametrize("local_rows", [3, 20, 150])
+def test_passes_over_levels_grow_the_same_trees(spark, grown, local_rows):
+    df, model = grown
+    allowed = [["a", "b", "c"], ["b", "c"]]
+    levels = trees.fit_extra_trees(df.repartition(6), ["a", "b", "c"], "y", n_trees=6, max_depth=7, min_leaf=2, seed=3, model="m", allowed=allowed, local_rows=local_rows)
+    shown = lambda t: sorted((r.tree, r.node, r.feature, r.n, r.threshold and round(r.threshold, 9), round(r.value, 9), r.gain and round(r.gain, 6)) for r in t.nodes.collect())
+    assert str(shown(levels)) == str(shown(model))
+
+
+def test_trees_with_missing_features_and_single_values(spark):
+    rows = [(i, None if i % 3 == 0 else float(i % 7), None, float(i % 5), 1.0 if i < 50 else float(i % 4), None if i == 9 else i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, y double, y2 int")
+    one, two = (trees.fit_extra_trees(df, ["a", "b", "c"], "y", n_trees=4, max_depth=5, seed=1, local_rows=n) for n in (1000, 10))
+    key = lambda t: sorted((r.tree, r.node, str(r.feature), r.n, round(r.value, 9)) for r in t.nodes.collect())
+    assert key(one) == key(two) and {r.feature for r in one.nodes.collect()} <= {None, 0, 2}
+    assert trees.predict_extra_trees(one, df, ["id"]).where("prediction is null").count() == 0
+    flat = trees.fit_extra_trees(df.withColumn("y", F.lit(2.0)), ["a", "c"], "y", n_trees=2, max_depth=3, local_rows=10)
+    assert [(r.node, r.n, r.value) for r in flat.nodes.collect()] == [(1, 120, 2.0)] * 2
+    empty = trees.fit_extra_trees(df.limit(0), ["a"], "y", n_trees=2, max_depth=3)
+    assert empty.nodes.count() == 0
+
+
+def test_two_levels_against_plain_python(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(map(float, r)) for r in np.column_stack([rng.random((60, 2)), rng.random(60)])]
+    got = trees.fit_extra_trees(spark.createDataFrame(rows, "a double, b double, y double"), ["a", "b"], "y", n_trees=3, max_depth=2, min_leaf=2, seed=5)
+
+    def expect(tree, node, part, depth):
+        y = [r[2] for r in part]
+        mean, best = sum(y) / len(y), None
+        if depth < 2 and len(part) >= 4 and min(y) < max(y):
+            for f, name in enumerate("ab"):
+                lo, hi = min(r[f] for r in part), max(r[f] for r in part)
+                cut = lo + float(trees.draws(5, tree, np.array([node]), trees.feature_codes([name]))[0, 0]) * (hi - lo)
+                left = [r[2] - mean for r in part if r[f] <= cut]
+                if lo < hi and 2 <= len(left) <= len(part) - 2:
+                    gain = sum(left) ** 2 / len(left) + sum(left) ** 2 / (len(part) - len(left))
+                    if best is None or gain > best[0]:
+                        best = (gain, f, cut)
+        out = [(tree, node, len(part), round(mean, 9), best and best[1], best and round(best[2], 9), best and round(best[0], 9))]
+        if best:
+            for side in (0, 1):
+                out += expect(tree, 2 * node + side, [r for r in part if (r[best[1]] > best[2]) == bool(side)], depth + 1)
+        return out
+
+    want = sorted(x for t in range(3) for x in expect(t, 1, rows, 0))
+    assert sorted((r.tree, r.node, r.n, round(r.value, 9), r.feature, r.threshold and round(r.threshold, 9), r.gain and round(r.gain, 9)) for r in got.nodes.collect()) == want
+
+
 def test_model_round_trip(spark, grown, tmp_path):
     df, model = grown
     model.save(str(tmp_path / "m"))

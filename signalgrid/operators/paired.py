@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalgrid.operators.contracts import pair_problems, paired, require
 from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
 from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
@@ -53,10 +54,11 @@ def winner(difference: Column, primary: str) -> Column:
 
 
 def seed_averaged(metrics: DataFrame, methods: Sequence[str], columns: Sequence[str], keys: Sequence[str] = MAP_KEYS,
-                  seed: str = "sparse_seed") -> DataFrame:
-    """Per-map means over seeds, with the number of distinct seeds."""
-    return metrics.where(F.col("method").isin(*methods)).groupBy(*keys, "method").agg(
+                  seed: str = "sparse_seed", expected_seeds: int | None = None) -> DataFrame:
+    """Per-map means over seeds, with the number of distinct seeds; another number than expected ends the job."""
+    out = metrics.where(F.col("method").isin(*methods)).groupBy(*keys, "method").agg(
         *[F.avg(c).alias(c) for c in columns], F.countDistinct(seed).alias("num_seeds"))
+    return out if expected_seeds is None else require(out, F.col("num_seeds") == expected_seeds, f"not {expected_seeds} seeds", [*keys, "method"])
 
 
 def incomplete_seeds(averaged: DataFrame, expected: int = 3) -> DataFrame:
@@ -69,22 +71,30 @@ def unpivot_metrics(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
 
 
 def paired_comparisons(averaged: DataFrame, primary: str, baselines: Sequence[str], columns: Sequence[str],
-                       keys: Sequence[str] = MAP_KEYS) -> DataFrame:
-    """Primary against each baseline on the maps both have, one row per map, baseline and metric."""
+                       keys: Sequence[str] = MAP_KEYS, strict: bool = False) -> DataFrame:
+    """Primary against each baseline on the maps both have, one row per map, baseline and metric.
+
+    A strict call ends at a map that only one of the two has, instead of leaving it out."""
     long = unpivot_metrics(averaged.where(F.col("method").isin(primary, *baselines)), [*keys, "method"], columns)
     left = long.where(F.col("method") == primary).select(*keys, "metric", F.col("value").alias("primary_value"))
     right = long.where(F.col("method").isin(*baselines)).select(
         *keys, "metric", F.col("method").alias("baseline_method"), F.col("value").alias("baseline_value"))
     diff = F.col("baseline_value") - F.col("primary_value")
-    return left.join(right, [*keys, "metric"]).withColumn("paired_difference", diff).withColumn(
+    if strict:
+        wanted = left.withColumn("baseline_method", F.explode(F.array(*[F.lit(b) for b in baselines])))
+        both = paired(wanted, right, [*keys, "metric", "baseline_method"], "maps of both methods differ")
+    else:
+        both = left.join(right, [*keys, "metric"])
+    return both.withColumn("paired_difference", diff).withColumn(
         "improvement_percent", improvement_percent("baseline_value", "primary_value")).withColumn(
         "valid_pair", F.col("paired_difference").isNotNull()).withColumn("winner", winner(F.col("paired_difference"), primary))
 
 
-def unmatched_maps(averaged: DataFrame, primary: str, baseline: str, keys: Sequence[str] = MAP_KEYS) -> DataFrame:
-    """Maps only one of the two methods has; must be empty for a strict pairing."""
-    sides = averaged.where(F.col("method").isin(primary, baseline))
-    return sides.groupBy(*keys).agg(F.countDistinct("method").alias("m")).where("m <> 2").drop("m")
+def unmatched_maps(averaged: DataFrame, primary: str, baselines: Sequence[str], keys: Sequence[str] = MAP_KEYS) -> DataFrame:
+    """Maps that do not stand exactly once under the primary method and each baseline, by baseline."""
+    left = averaged.where(F.col("method") == primary).withColumn("baseline_method", F.explode(F.array(*[F.lit(b) for b in baselines])))
+    right = averaged.where(F.col("method").isin(*baselines)).withColumn("baseline_method", F.col("method"))
+    return pair_problems(left, right, [*keys, "baseline_method"])
 
 
 def _with_medians(rows: DataFrame, keys: Sequence[str], aggs: Sequence[Column], value: str, name: str, rows_bound: int | None,
@@ -228,12 +238,6 @@ def ranked(df: DataFrame, keys: Sequence[str], metric: str, name: str = "rank")
     return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(F.col(metric).asc_nulls_last())))
 
 
-def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that occur more than once on either side; must be empty for a 1:1 merge."""
-    dup = [s.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1") for s in (left, right)]
-    return dup[0].unionByName(dup[1])
-
-
 def unique_winner(df: DataFrame, column_keys: Sequence[str], label: str, value: str) -> DataFrame:
     """Rows closest to the column minimum; `winners` above one is a tie to report."""
     low = Window.partitionBy(*column_keys)

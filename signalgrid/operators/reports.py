@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.functions.pathloss import improvement_percent
+from signalgrid.operators.contracts import pair_problems, require
 from signalgrid.operators.paired import ranked, winner
 from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
 from signalgrid.skew import MAX_GROUP_ROWS, split_hot
@@ -22,6 +23,15 @@ def _sides(df: DataFrame, keys: Sequence[str], columns: Sequence[str], baselines
     return left.join(right, list(keys)).where("method <> baseline")
 
 
+def side_problems(df: DataFrame, keys: Sequence[str], baselines: Sequence[str]) -> DataFrame:
+    """Keys that do not stand exactly once under a method and under a baseline, for every pair of the two."""
+    names = df.select("method").distinct()
+    left = df.select(*keys, "method").withColumn("baseline", F.explode(F.array(*[F.lit(b) for b in baselines])))
+    right = df.where(F.col("method").isin(*baselines)).select(*keys, F.col("method").alias("baseline")).join(F.broadcast(names))  # a handful of names
+    own = F.col("method") != F.col("baseline")
+    return pair_problems(left.where(own), right.where(own), [*keys, "method", "baseline"])
+
+
 def rankings(pooled: DataFrame, macro: DataFrame, group: str, metric: str = "rmse") -> DataFrame:
     """Pooled and macro rankings stacked with a type tag."""
     parts = [ranked(df, [group], metric).select(F.lit(tag).alias("ranking_type"), group, "method", metric, "rank")
@@ -65,8 +75,11 @@ def target_mismatches(pairs: DataFrame) -> DataFrame:
     return pairs.where(~F.col("method_target_pl_db").eqNullSafe(F.col("baseline_target_pl_db")))
 
 
-def point_comparison(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Errors and point wins of each method against each baseline."""
+def point_comparison(pairs: DataFrame, keys: Sequence[str], strict: bool = False) -> DataFrame:
+    """Errors and point wins of each method against each baseline. A strict call ends at a pair with two targets."""
+    if strict:
+        same = F.col("method_target_pl_db").eqNullSafe(F.col("baseline_target_pl_db"))
+        pairs = require(pairs, same, "both sides of a pair have the same target", [*keys, "method", "baseline"])
     em = F.col("method_pred_pl_db") - F.col("method_target_pl_db")
     eb = F.col("baseline_pred_pl_db") - F.col("method_target_pl_db")
     out = pairs.groupBy(*keys, "method", "baseline").agg(
@@ -96,10 +109,13 @@ def comparison_summary(per_seed: DataFrame, folds: DataFrame, points: DataFrame,
     return seeds.join(wins, keys).join(rate, keys)
 
 
-def adaptation_pairs(adapted: DataFrame, zero_shot: DataFrame, uid: str = "row_uid") -> DataFrame:
-    """Every few-shot prediction with its zero-shot match (left join, null when missing)."""
+def adaptation_pairs(adapted: DataFrame, zero_shot: DataFrame, uid: str = "row_uid", strict: bool = False) -> DataFrame:
+    """Every few-shot prediction with its zero-shot match (left join, null when missing). A strict call ends at a
+    prediction without a match or with another target."""
     base = zero_shot.select(uid, "fold", F.col("pred_pl_db").alias("baseline_pred_pl_db"), F.col("target_pl_db").alias("baseline_target_pl_db"))
-    return adapted.join(base, [uid, "fold"], "left")
+    out = adapted.join(base, [uid, "fold"], "left")
+    matched = F.col("baseline_pred_pl_db").isNotNull() & F.col("target_pl_db").eqNullSafe(F.col("baseline_target_pl_db"))
+    return require(out, matched, "a few-shot prediction has a zero-shot match with its target", [uid, "fold"]) if strict else out
 
 
 def unmatched_adaptations(pairs: DataFrame) -> DataFrame:

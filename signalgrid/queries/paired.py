@@ -60,6 +60,20 @@ def sta2(spark, sf_dir):
                                             "improvement_percent", "valid_pair", "winner"), improvement_percent=4)
 
 
+@query("sta1_incomplete_seeds", AVG + """SELECT task, sample_id, method, num_seeds FROM averaged WHERE num_seeds <> 3""", ["run_metrics"])
+def sta1_incomplete(spark, sf_dir):
+    return tidy(P.incomplete_seeds(averaged(spark, sf_dir)).select("task", "sample_id", "method", "num_seeds"))
+
+
+@query("sta2_unmatched_maps", AVG + f""", b AS (SELECT * FROM (VALUES ('direct_rf'), ('multi_wall'), ('idw')) t(baseline_method)),
+want AS (SELECT DISTINCT {KEYS}, baseline_method FROM averaged, b WHERE method = 'residual_extra' OR method = baseline_method)
+SELECT task, sample_id, baseline_method, CASE WHEN l = 0 THEN 'missing_left' WHEN r = 0 THEN 'missing_right' ELSE 'repeated' END AS problem, l AS left_rows, r AS right_rows FROM (
+  SELECT w.task, w.sample_id, w.baseline_method, count(*) FILTER (a.method = 'residual_extra') AS l, count(*) FILTER (a.method = w.baseline_method) AS r
+  FROM want w JOIN averaged a ON {" AND ".join(f"w.{k} IS NOT DISTINCT FROM a.{k}" for k in P.MAP_KEYS)} GROUP BY ALL) WHERE l <> 1 OR r <> 1""", ["run_metrics"])
+def sta2_unmatched(spark, sf_dir):
+    return tidy(P.unmatched_maps(averaged(spark, sf_dir), PRIMARY, BASELINES).select("task", "sample_id", "baseline_method", "problem", "left_rows", "right_rows"))
+
+
 RATES_SQL = PAIRED + """, rates AS (SELECT task, scope, baseline_method, metric, count(*) AS num_candidate_maps, count(d) AS num_valid_maps,
   count(*) - count(d) AS num_missing_pairs, count(*) FILTER (winner = 'residual_extra') AS primary_map_wins, count(*) FILTER (winner = 'baseline') AS baseline_map_wins,
   count(*) FILTER (winner = 'tie') AS ties, avg(primary_value) FILTER (d IS NOT NULL) AS mp, avg(baseline_value) FILTER (d IS NOT NULL) AS mb,
@@ -241,7 +255,17 @@ def point_pairs(spark, sf_dir) -> DataFrame:
   round(mm, 5) AS method_mae, round(bm, 5) AS baseline_mae, mw AS method_point_wins, bw AS baseline_point_wins, n - mw - bw AS ties, round(100 * (br - mr) / br, 5) AS rmse_improvement_percent,
   round(100 * (bm - mm) / bm, 5) AS mae_improvement_percent, round(1e2 * mw / n, 5) AS method_point_win_percent FROM pcs""", ["points"])
 def sta14(spark, sf_dir):
-    return tidy(R.point_comparison(point_pairs(spark, sf_dir), ["split", "random_seed"]), 5)
+    return tidy(R.point_comparison(point_pairs(spark, sf_dir), ["split", "random_seed"], strict=True), 5)
+
+
+@query("sta13_key_problems", S.FOLD_ROWS + """, m AS (SELECT DISTINCT method FROM fold_rows), b AS (SELECT method AS baseline FROM m WHERE method IN ('log_distance', 'direct_rf')),
+k AS (SELECT DISTINCT split, random_seed, fold FROM fold_rows), n AS (SELECT k.*, m.method, b.baseline,
+  (SELECT count(*) FROM fold_rows f WHERE f.split = k.split AND f.random_seed = k.random_seed AND f.fold = k.fold AND f.method = m.method) AS l,
+  (SELECT count(*) FROM fold_rows f WHERE f.split = k.split AND f.random_seed = k.random_seed AND f.fold = k.fold AND f.method = b.baseline) AS r FROM k, m, b WHERE m.method <> b.baseline)
+SELECT split, CAST(random_seed AS BIGINT) AS random_seed, fold, method, baseline, l AS left_rows, r AS right_rows,
+  CASE WHEN l = 0 THEN 'missing_left' WHEN r = 0 THEN 'missing_right' ELSE 'repeated' END AS problem FROM n WHERE l + r > 0 AND (l <> 1 OR r <> 1)""", ["points"])
+def sta13_problems(spark, sf_dir):
+    return tidy(R.side_problems(S.fold_rows(spark, sf_dir), ["split", "random_seed", "fold"], BASE2))
 
 
 @query("sta15_comparison_summary", IMPROVE + FOLD_CMP[len(S.FOLD_ROWS):] + POINT_CMP + """, s AS (SELECT split, method, baseline, count(DISTINCT random_seed) AS num_seeds, avg(pm) AS pm_mean,
@@ -306,7 +330,7 @@ SELECT fold, anchor_fraction, CAST(anchor_seed AS BIGINT) AS anchor_seed, round(
   round(bm, 5) AS baseline_mae, round(bp, 5) AS baseline_p90_ae, n AS test_count, aw AS adapted_point_wins, bw AS baseline_point_wins, round(100 * (br - ar) / br, 4) AS rmse_improvement_percent,
   round(100 * (bm - am) / bm, 4) AS mae_improvement_percent, round(100 * (bp - ap) / bp, 4) AS p90_ae_improvement_percent, n - aw - bw AS ties, round(1e2 * aw / n, 5) AS adapted_point_win_percent FROM g""", ["points"])
 def sta16(spark, sf_dir):
-    matched = R.adaptation_pairs(fewshot_predictions(spark, sf_dir), zero_shot(spark, sf_dir))
+    matched = R.adaptation_pairs(fewshot_predictions(spark, sf_dir), zero_shot(spark, sf_dir), strict=True)
     out = R.adaptation_gains(matched, ["fold", "anchor_fraction", "anchor_seed"], scan_rows(spark, sf_dir, "lineitem"))
     return tidy(out, 5, rmse_improvement_percent=4, mae_improvement_percent=4, p90_ae_improvement_percent=4)
 

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalgrid.operators.contracts import pair_problems, paired, require
-from signalgrid.functions.hashing import stable_hash
 from signalgrid.functions.pathloss import improvement_percent
+from signalgrid.operators.bootstrap import BLOCK_ROWS, replicate_sums
+from signalgrid.operators.contracts import pair_problems, paired, require
 from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
 from signalgrid.operators.sampling import dense_positions
-from signalgrid.session import spread
+from signalgrid.session import materialise
 from signalgrid.skew import MAX_GROUP_ROWS, split_hot
 
 MAP_KEYS = ("task", "sample_id", "building", "antenna", "frequency", "transfer_condition")
@@ -152,22 +152,22 @@ def sign_test(positive: Column, negative: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n)))
 
 
-def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int = 1000, confidence: float = 0.95,
+def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int = 20_000, confidence: float = 0.95,
                       seed: int = 20260, cluster: str = "building") -> DataFrame:
     """Percentile intervals from resampling whole clusters with replacement.
 
-    Input has one row per cluster, so a group is a handful of values. Draw number d of
-    replicate b picks the cluster at position hash(seed, keys, b, d) mod n, which makes the
-    draws the same on every run. Replicates spread over tasks; per replicate only two
-    means are kept.
+    Input has one row per cluster; the result lists a group's clusters, so a group is a
+    handful of values. Clusters stand in order at positions 0 to n-1 (`bootstrap.py` tells
+    how draws fall on them); per replicate only two means are kept.
     """
     if iterations < 1000:
         raise ValueError("use at least 1000 bootstrap iterations")
     if not 0.0 < confidence < 1.0:
         raise ValueError("confidence must lie strictly between 0 and 1")
     keys = list(keys)
-    usable = buildings.where("mean_paired_difference IS NOT NULL AND improvement_percent IS NOT NULL")
-    packed = usable.groupBy(*keys).agg(
+    usable = buildings.where((F.abs("mean_paired_difference") < float("inf")) & (F.abs("improvement_percent") < float("inf")))
+    # One row per group, read twice below: written once, so that the plan under it runs once.
+    packed = materialise(usable.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(cluster, "mean_paired_difference", "improvement_percent"))).alias("c"),
         F.avg("mean_paired_difference").alias("cluster_mean_paired_difference"),
         F.median("mean_paired_difference").alias("cluster_median_paired_difference"),
@@ -175,19 +175,17 @@ def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int
         F.count(F.when(F.col("mean_paired_difference") > 0, 1)).alias("primary_building_wins"),
         F.count(F.when(F.col("mean_paired_difference") < 0, 1)).alias("baseline_building_wins"),
         F.count(F.when(F.col("mean_paired_difference") == 0, 1)).alias("building_ties"),
-    ).withColumn("num_buildings", F.size("c"))
-    # Replicates start from a handful of rows; dealt by (keys, b), they are grouped where they lie.
-    dealt = spread(packed.select(*keys, "c", "num_buildings", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")), *keys, "b")
-    draws = dealt.select(*keys, "c", "num_buildings", "b", F.explode(F.sequence(F.lit(0), F.col("num_buildings") - 1)).alias("d"))
-    pick = F.get("c", (stable_hash(F.lit(str(seed)), *keys, "b", "d") % F.col("num_buildings")).cast("int"))
-    replicates = draws.groupBy(*keys, "b").agg(
-        F.avg(pick["mean_paired_difference"]).alias("diff"), F.avg(pick["improvement_percent"]).alias("pct"))
+    ).withColumn("num_buildings", F.size("c")), "clusters")
+    units = packed.select(*keys, "num_buildings", F.posexplode("c").alias("_pos", "_c")).select(
+        *keys, "num_buildings", "_pos", F.col("_c.mean_paired_difference").alias("diff"), F.col("_c.improvement_percent").alias("pct"))
+    sums = replicate_sums(units, keys, "_pos", "num_buildings", ["diff", "pct"], iterations, seed)
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
+    replicates = sums.withColumns({c: F.col(c) / F.col("num_buildings") for c in ("diff", "pct")})
     interval = replicates.groupBy(*keys).agg(
         F.percentile("diff", low).alias("difference_ci_low"), F.percentile("diff", high).alias("difference_ci_high"),
         F.percentile("pct", low).alias("improvement_percent_ci_low"), F.percentile("pct", high).alias("improvement_percent_ci_high"),
         F.avg((F.col("diff") > 0).cast("double")).alias("probability_primary_better"))
-    return packed.join(interval, keys).select(
+    return null_safe_join(packed, interval, keys).select(
         *keys, "num_buildings", F.array_join(F.transform("c", lambda s: F.concat(F.lit("B"), s[cluster].cast("string"))), ",").alias("buildings"),
         "cluster_mean_paired_difference", "cluster_median_paired_difference", "cluster_mean_improvement_percent",
         "difference_ci_low", "difference_ci_high", "improvement_percent_ci_low", "improvement_percent_ci_high",
@@ -198,27 +196,23 @@ def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int
 
 def bootstrap_mean_ci(df: DataFrame, keys: Sequence[str], value: str, uid: Sequence[str], iterations: int = 1000,
                       confidence: float = 0.95, seed: int = 42, rows_bound: int | None = None,
-                      max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Bootstrap interval of a mean where every row is a unit.
+                      max_group_rows: int = MAX_GROUP_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Bootstrap interval of a mean where every row with a finite value is a unit.
 
-    Rows get a dense position inside their group. Replicate b draws n positions; draws
-    are counted by (group, b, position) and joined to the rows, so the draws themselves
-    never meet in one task.
+    Rows get a dense position inside their group and are packed into blocks; draws never
+    become rows (`bootstrap.py`).
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, *[u for u in uid if u not in keys], F.col(value).alias("_v"))
-    placed = dense_positions(rows, keys, [u for u in uid if u not in keys], "_pos", rows_bound, max_group_rows)
+    order = [u for u in uid if u not in keys]
+    rows = df.where(F.abs(value) < float("inf")).select(*keys, *order, F.col(value).cast("double").alias("_v"))
+    placed = dense_positions(rows, keys, order, "_pos", rows_bound, max_group_rows)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
-    # A group of n rows has the draw numbers 0..n-1 as its positions, so draws start where the rows lie.
-    numbered = null_safe_join(placed.select(*keys, F.col("_pos").alias("d")), sizes, keys)
-    draws = numbered.select(*keys, "n", "d", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("b")).select(
-        *keys, "b", (stable_hash(F.lit(str(seed)), *keys, "b", "d") % F.col("n")).cast("bigint").alias("_pos"))
-    counted = draws.groupBy(*keys, "_pos", "b").agg(F.count(F.lit(1)).alias("_times"))
-    means = counted.join(placed, [*keys, "_pos"]).groupBy(*keys, "b").agg(
-        (F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("m"))
+    units = null_safe_join(placed.select(*keys, "_pos", "_v"), sizes.drop("mean"), keys)
+    means = replicate_sums(units, keys, "_pos", "n", ["_v"], iterations, seed, block_rows).withColumn("m", F.col("_v") / F.col("n"))
     low, high = (1 - confidence) / 2, 1 - (1 - confidence) / 2
-    ci = means.groupBy(*keys).agg(F.avg("m").alias("bootstrap_mean"), F.percentile("m", low).alias("ci_low"), F.percentile("m", high).alias("ci_high"))
-    return sizes.join(ci, keys)
+    ci = means.groupBy(*keys).agg(
+        F.avg("m").alias("bootstrap_mean"), F.percentile("m", low).alias("ci_low"), F.percentile("m", high).alias("ci_high"))
+    return null_safe_join(sizes, ci, keys)
 
 
 def per_seed_consistency(metrics: DataFrame, primary: str, baselines: Sequence[str], columns: Sequence[str],

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgrid.functions.hashing import HASH_RANGE, stable_hash
+from signalgrid.operators.percentiles import null_safe_join
 from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task
 
 SLICE_ROWS = 4096
@@ -138,10 +139,10 @@ def dense_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], na
     if fits_one_task(rows_bound, max_group_rows):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(stable_hash(*order), *order)) - 1)
     totals = df.groupBy(*keys).agg(F.least(F.lit(MAX_SLICES), F.ceil(F.count(F.lit(1)) / max_group_rows)).alias("_slices"))
-    sliced = df.join(totals, keys).withColumn("_slice", F.floor(stable_hash(*order) * F.col("_slices") / HASH_RANGE))
+    sliced = null_safe_join(df, totals, keys).withColumn("_slice", F.floor(stable_hash(*order) * F.col("_slices") / HASH_RANGE))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c")).select(
         *keys, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(stable_hash(*order), *order)
-    return sliced.join(offsets, [*keys, "_slice"]).withColumn(
+    return null_safe_join(sliced, offsets, [*keys, "_slice"]).withColumn(
         name, F.row_number().over(inside) - 1 + F.col("_offset")).drop("_slices", "_slice", "_offset")

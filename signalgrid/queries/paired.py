@@ -103,8 +103,7 @@ BOOT_SQL = BUILDINGS_SQL + f""", clusters AS (SELECT task, scope, baseline_metho
   row_number() OVER (PARTITION BY task, scope, baseline_method, metric ORDER BY building) - 1 AS pos,
   count(*) OVER (PARTITION BY task, scope, baseline_method, metric) AS n FROM buildings),
 sizes AS (SELECT DISTINCT task, scope, baseline_method, metric, n FROM clusters),
-draws AS (SELECT s.*, r.b, unnest(range(0, n)) AS d FROM sizes s CROSS JOIN (SELECT range AS b FROM range(1000)) r),
-picked AS (SELECT *, CAST({sq.hash_sql("'20260'", "task", "scope", "baseline_method", "metric", "CAST(b AS VARCHAR)", "CAST(d AS VARCHAR)")} AS BIGINT) % n AS pos FROM draws),
+picked AS ({sq.bootstrap_draws("sizes", 20000, 20260, ("task", "scope", "baseline_method", "metric"))}),
 reps AS (SELECT p.task, p.scope, p.baseline_method, p.metric, p.b, avg(c.md) AS diff, avg(c.pct) AS pct FROM picked p
   JOIN clusters c USING (task, scope, baseline_method, metric, pos) GROUP BY 1, 2, 3, 4, 5),
 ci AS (SELECT task, scope, baseline_method, metric, quantile_cont(diff, 0.025) AS lo, quantile_cont(diff, 0.975) AS hi, quantile_cont(pct, 0.025) AS plo,
@@ -117,7 +116,7 @@ boot AS (SELECT *, least(1e0, 2 * (SELECT sum(CASE WHEN i = 0 THEN 1 ELSE exp(lg
 
 
 def bootstrap(spark, sf_dir) -> DataFrame:
-    return P.cluster_bootstrap(P.building_summary(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), ["task", "scope", "baseline_method", "metric"], 1000)
+    return P.cluster_bootstrap(P.building_summary(pairs(spark, sf_dir), PRIMARY, maps_bound(spark, sf_dir)), ["task", "scope", "baseline_method", "metric"])
 
 
 @query("sta5_cluster_bootstrap", BOOT_SQL + """SELECT task, scope, baseline_method, metric, num_buildings, buildings, round(cm, 6) AS cluster_mean_paired_difference,
@@ -174,8 +173,7 @@ def sta8(spark, sf_dir):
 @query("sta9_bootstrap_mean_ci", f"""WITH rows AS (SELECT method, sample_id, sparse_seed, rmse AS v, row_number() OVER (PARTITION BY method ORDER BY {sq.hash_sql("sample_id", "CAST(sparse_seed AS VARCHAR)")}, sample_id, sparse_seed) - 1 AS pos,
   count(*) OVER (PARTITION BY method) AS n FROM run_metrics WHERE rmse IS NOT NULL),
 sizes AS (SELECT method, count(*) AS n, avg(v) AS mean FROM rows GROUP BY 1),
-draws AS (SELECT method, n, r.b, unnest(range(0, n)) AS d FROM sizes CROSS JOIN (SELECT range AS b FROM range(1000)) r),
-picked AS (SELECT method, b, CAST({sq.hash_sql("'42'", "method", "CAST(b AS VARCHAR)", "CAST(d AS VARCHAR)")} AS BIGINT) % n AS pos FROM draws),
+picked AS ({sq.bootstrap_draws("sizes", 1000, 42, ("method",))}),
 reps AS (SELECT p.method, p.b, avg(r.v) AS m FROM picked p JOIN rows r USING (method, pos) GROUP BY 1, 2),
 ci AS (SELECT method, avg(m) AS bm, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM reps GROUP BY 1)
 SELECT method, n, round(mean, 5) AS mean, round(bm, 5) AS bootstrap_mean, round(lo, 5) AS ci_low, round(hi, 5) AS ci_high FROM sizes JOIN ci USING (method)""", ["run_metrics"])

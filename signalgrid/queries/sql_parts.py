@@ -34,6 +34,23 @@ def hash_sql(*parts: str) -> str:
     return f"CAST(('0x' || substr(sha256(concat_ws('::', {', '.join(parts)})), 9, 8)) AS UBIGINT)"
 
 
+def mixed(source: str, word: str, name: str) -> str:
+    """`source` with a column that mixes the bits of a 32-bit word."""
+    step = "(xor({0}, {0} >> 16) * 73244475) & 4294967295"
+    return (f"(SELECT * EXCLUDE (m0, m1, m2), xor(m2, m2 >> 16) AS {name} FROM (SELECT *, {step.format('m1')} AS m2 FROM ("
+            f"SELECT *, {step.format('m0')} AS m1 FROM (SELECT *, CAST({word} AS BIGINT) & 4294967295 AS m0 FROM {source}))))")
+
+
+def bootstrap_draws(sizes: str, iterations: int, seed: int, keys: tuple[str, ...]) -> str:
+    """One row per draw (keys, n, b, d, pos) of every group of `sizes` (keys and n), for groups of one block."""
+    salted = mixed(sizes, hash_sql(f"'{seed}'", *keys), "salt")
+    replicates = f"(SELECT s.*, r.b FROM {salted} s CROSS JOIN (SELECT range AS b FROM range({iterations})) r)"
+    words = mixed(mixed(replicates, "b + salt", "first"), "xor(first, 2654435761)", "second")
+    draws = f"(SELECT *, unnest(range(0, n)) AS d FROM {words})"
+    last = mixed(mixed(draws, "d + first", "inward"), "xor(inward, second)", "word")
+    return f"SELECT {', '.join(keys)}, n, b, d, word % n AS pos FROM {last}"
+
+
 def anchors(rate: str, seeds: tuple[int, ...], min_points: int = 4, source: str = "maps", name: str = "anchors") -> str:
     """Anchor cells of one rate; the rate is given as its text."""
     values = ", ".join(f"({s})" for s in seeds)

@@ -131,3 +131,38 @@ def test_bootstrap_mean_does_not_depend_on_the_plan(skewed):
     small = paired.bootstrap_mean_ci(skewed, ["k"], "v", ["id"], 20, rows_bound=10**6)
     a, b = ({r["k"]: r for r in df.collect()} for df in (hot, small.select(hot.columns)))
     assert a.keys() == b.keys() and all(x == y or x == pytest.approx(y, abs=1e-9) for k in a for x, y in zip(a[k], b[k], strict=True))
+
+
+def test_bootstrap_draws_fall_evenly_on_all_blocks():
+    import numpy as np
+
+    from signalgrid.operators.bootstrap import block_draws, block_sums
+
+    n, rows, replicates = 1_050, 100, np.arange(400)
+    counts = np.stack([block_draws(7, k, n, replicates, rows) for k in range(11)])
+    assert (counts.sum(axis=0) == n).all()
+    share = np.array([100] * 10 + [50]) / n
+    assert np.abs(counts.mean(axis=1) - n * share).max() < 5 * np.sqrt(n * 0.1 / 400)
+    assert np.allclose(counts.var(axis=1), n * share * (1 - share), rtol=0.4)
+    assert (block_draws(7, 3, n, np.arange(60), rows) == counts[3, :60]).all()
+
+    # Every unit is drawn once a replicate on average, with the spread of a multinomial count.
+    single = np.stack([block_sums(7, 2, n, [np.eye(100)[u]], 400, rows)[0] for u in range(100)])
+    assert (single.sum(axis=0) == counts[2]).all()
+    assert abs(single.mean() - 1) < 0.05 and abs(single.var() - 1) < 0.1
+    assert np.abs(np.corrcoef(single[:, :40].T) - np.eye(40)).max() < 0.55
+    assert (block_sums(7, 2, n, [np.arange(100.0)], 60, rows)[0] == block_sums(7, 2, n, [np.arange(100.0)], 400, rows)[0][:60]).all()
+
+
+def test_bootstrap_over_blocks_agrees_with_theory_and_keeps_null_groups(spark):
+    rows = spark.range(3_000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'big' END AS k", "CAST(id % 50 AS DOUBLE) AS v").unionByName(
+        spark.createDataFrame([(9_001, "one", 4.0), (9_002, "big", float("nan")), (9_003, "big", float("inf")), (9_004, "none", None)], "id bigint, k string, v double"))
+    got = {r["k"]: r for r in paired.bootstrap_mean_ci(rows, ["k"], "v", ["id"], 1000, block_rows=64).collect()}
+    assert set(got) == {None, "big", "one"} and [got[k]["n"] for k in (None, "big", "one")] == [1000, 2000, 1]
+    assert got["one"]["ci_low"] == got["one"]["ci_high"] == 4.0
+    for k in (None, "big"):
+        r, half = got[k], 1.96 * 14.43 / got[k]["n"] ** 0.5
+        assert abs(r["bootstrap_mean"] - r["mean"]) < 0.1 * half
+        assert r["mean"] - r["ci_low"] == pytest.approx(half, rel=0.12) and r["ci_high"] - r["mean"] == pytest.approx(half, rel=0.12)
+    again = {r["k"]: r for r in paired.bootstrap_mean_ci(rows.repartition(5), ["k"], "v", ["id"], 1000, block_rows=64, max_group_rows=90).collect()}
+    assert all(again[k]["ci_low"] == pytest.approx(got[k]["ci_low"], abs=1e-9) for k in got)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signalgrid.functions import pathloss as pl
-from signalgrid.operators import audits as A, features, interpolation as interp, sampling, splits as X
+from signalgrid.operators import audits as A, features, interpolation as interp, run_contract as RC, sampling, splits as X
 from signalgrid.plans import evaluation as ev
 from signalgrid.plans import views
 from signalgrid.queries import dense as D
@@ -151,6 +151,71 @@ def aud11(spark, sf_dir):
     return tidy(A.prediction_audit(S.point_predictions(spark, sf_dir), ["split", "random_seed"], ["fold", "row_uid"], ["pred_pl_db", "target_pl_db"]))
 
 
+# Four planned runs over the predictions: two whole ones, one that is another run's copy with faults, one that never ran.
+RUN_TABLES = S.POINT_PREDS + """, run_samples AS (
+  SELECT split AS run_split, random_seed AS run_seed, row_uid, method, fold, split, random_seed, target_pl_db, pred_pl_db FROM point_preds
+  UNION ALL SELECT split, 33, row_uid, method, fold, split, 22, target_pl_db, CASE WHEN distance_m > 45 THEN NULL ELSE pred_pl_db END FROM point_preds
+    WHERE random_seed = 22 AND NOT (method = 'direct_rf' AND fold = 'holdout_River')
+  UNION ALL SELECT split, 33, row_uid, method, fold, split, 22, target_pl_db, pred_pl_db FROM point_preds WHERE random_seed = 22 AND method = 'log_distance' AND fold = 'holdout_North'),
+run_folds AS (SELECT run_split, run_seed, method, fold, split, random_seed, sqrt(avg((pred_pl_db - target_pl_db) * (pred_pl_db - target_pl_db))) AS rmse, avg(abs(pred_pl_db - target_pl_db)) AS mae,
+  count(*) AS test_count FROM run_samples GROUP BY 1, 2, 3, 4, 5, 6),
+run_pooled AS (SELECT run_split, run_seed, method, split, sqrt(avg((pred_pl_db - target_pl_db) * (pred_pl_db - target_pl_db))) AS rmse, avg(abs(pred_pl_db - target_pl_db)) AS mae FROM run_samples WHERE run_seed <> 33 OR method <> 'direct_rf' GROUP BY 1, 2, 3, 4),
+want_folds AS (SELECT 'leave_scenario_out' AS run_split, s.seed AS run_seed, concat('holdout_', scenario) AS fold, count(*) AS test_count FROM points, (VALUES (11, 11), (22, 22), (33, 22), (44, 11)) s(seed, source)
+  WHERE s.source = CASE WHEN distance_m > 25 THEN 22 ELSE 11 END GROUP BY 1, 2, 3),
+want AS (SELECT run_split, run_seed, CAST(sum(test_count) AS BIGINT) AS points, count(*) AS folds FROM want_folds GROUP BY 1, 2)"""
+
+
+def run_tables(spark, sf_dir):
+    rows = S.point_predictions(spark, sf_dir).withColumns({"run_split": F.col("split"), "run_seed": F.col("random_seed")})
+    base = ["run_split", "run_seed", "row_uid", "method", "fold", "split", "random_seed", "target_pl_db", "pred_pl_db"]
+    copy = rows.where("random_seed = 22").withColumn("run_seed", F.lit(33))
+    holes = copy.where("NOT (method = 'direct_rf' AND fold = 'holdout_River')").withColumn(
+        "pred_pl_db", F.when(~(F.col("distance_m") > 45), F.col("pred_pl_db")))
+    repeats = copy.where("method = 'log_distance' AND fold = 'holdout_North'")
+    samples = rows.select(*base).unionByName(holes.select(*base)).unionByName(repeats.select(*base))
+    error = F.col("pred_pl_db") - F.col("target_pl_db")
+    folds = samples.groupBy(*RC.RUN, "method", "fold", "split", "random_seed").agg(
+        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.count(F.lit(1)).alias("test_count"))
+    pooled = samples.where("run_seed <> 33 OR method <> 'direct_rf'").groupBy(*RC.RUN, "method", "split").agg(
+        F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"))
+    points = views.points(spark, sf_dir).withColumn("source", F.when(F.col("distance_m") > 25, 22).otherwise(11))
+    seeds = F.explode(F.when(F.col("source") == 11, F.array(F.lit(11), F.lit(44))).otherwise(F.array(F.lit(22), F.lit(33))))
+    want_folds = points.select(F.lit("leave_scenario_out").alias("run_split"), seeds.alias("run_seed"), F.concat(F.lit("holdout_"), "scenario").alias("fold")).groupBy(
+        *RC.RUN, "fold").agg(F.count(F.lit(1)).alias("test_count"))
+    want = want_folds.groupBy(*RC.RUN).agg(F.sum("test_count").alias("points")).withColumn("removed", F.lit(0))
+    # A summary states what its run saw; the copy still names its source's seed, other files and other features.
+    runs = want.where("run_seed <> 44").select(
+        *RC.RUN, F.col("run_split").alias("stated_split"), F.when(F.col("run_seed") == 33, 22).otherwise(F.col("run_seed")).alias("stated_seed"),
+        F.col("points").alias("rows_after_cleaning"), F.when(F.col("run_seed") == 33, 1).otherwise(0).alias("rows_removed_total"),
+        F.when(F.col("run_seed") == 33, "files-b").otherwise("files-a").alias("fingerprint"), F.when(F.col("run_seed") == 33, "d").otherwise("d,walls").alias("features"))
+    return want, want_folds, runs, folds, samples, pooled
+
+
+@query("aud11_run_contract", RUN_TABLES + """,
+f AS (SELECT run_seed, count(*) AS n, list_sort(list(DISTINCT method)) AS methods, list_sort(list(DISTINCT fold)) AS folds, bool_and(random_seed = run_seed) AS seed, bool_and(split = run_split) AS split,
+  count(rmse) + count(mae) = 2 * count(*) AS fin FROM run_folds GROUP BY 1),
+t AS (SELECT w.run_seed, count(*) FILTER (g.test_count IS NULL OR g.lo <> w.test_count OR g.test_count <> w.test_count) = 0 AS ok FROM want_folds w
+  LEFT JOIN (SELECT run_seed, fold, max(test_count) AS test_count, min(test_count) AS lo FROM run_folds GROUP BY 1, 2) g USING (run_seed, fold) GROUP BY 1),
+s AS (SELECT run_seed, count(*) AS n, count(DISTINCT row_uid) AS uids, bool_and(random_seed = run_seed) AS seed, bool_and(split = run_split) AS split, count(pred_pl_db) + count(target_pl_db) = 2 * count(*) AS fin,
+  count(*) = count(DISTINCT (row_uid, method, fold)) AS uniq FROM run_samples GROUP BY 1),
+once AS (SELECT run_seed, min(c) AS lo, max(c) AS hi FROM (SELECT run_seed, method, count(DISTINCT row_uid) AS c FROM run_samples GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT run_seed, count(*) AS n, list_sort(list(DISTINCT method)) AS methods, bool_and(split = run_split) AS split, count(rmse) + count(mae) = 2 * count(*) AS fin FROM run_pooled GROUP BY 1),
+m AS (SELECT ['direct_rf', 'log_distance', 'multi_wall_linear'] AS methods, ['holdout_Annex', 'holdout_North', 'holdout_River'] AS folds),
+r AS (SELECT run_split, CAST(want.run_seed AS BIGINT) AS run_seed, coalesce(f.n, 0) AS fold_rows, coalesce(s.n, 0) AS sample_rows, coalesce(p.n, 0) AS pooled_rows, coalesce(s.uids, 0) AS unique_test_points,
+  want.run_seed <> 44 AS check_summary_split, want.run_seed IN (11, 22) AS check_summary_seed, want.run_seed <> 44 AS check_rows_after_cleaning, want.run_seed IN (11, 22) AS check_rows_removed_total,
+  coalesce(f.methods = m.methods, false) AS check_methods_complete, coalesce(f.folds = m.folds, false) AS check_folds_complete, coalesce(f.n = 3 * want.folds, false) AS check_fold_result_row_count,
+  coalesce(s.n = 3 * want.points, false) AS check_sample_row_count, coalesce(p.n = 3, false) AS check_pooled_row_count, coalesce(f.seed, false) AS check_fold_seed_column,
+  coalesce(s.seed, false) AS check_sample_seed_column, coalesce(f.split, false) AS check_fold_split_column, coalesce(s.split, false) AS check_sample_split_column, coalesce(p.split, false) AS check_pooled_split_column,
+  coalesce(p.methods = m.methods, false) AS check_pooled_methods_complete, coalesce(f.fin, false) AS check_finite_fold_metrics, coalesce(s.fin, false) AS check_finite_sample_values,
+  coalesce(p.fin, false) AS check_finite_pooled_metrics, coalesce(s.uniq, false) AS check_unique_predictions, coalesce(once.lo = want.points AND once.hi = want.points, false) AS check_all_points_once_per_method,
+  t.ok AS check_test_counts_correct, want.run_seed IN (11, 22) AS check_dataset_fingerprints_match, want.run_seed IN (11, 22) AS check_features_match_within_protocol
+  FROM want CROSS JOIN m LEFT JOIN f USING (run_seed) LEFT JOIN t USING (run_seed) LEFT JOIN s USING (run_seed) LEFT JOIN once USING (run_seed) LEFT JOIN p USING (run_seed))
+SELECT *, concat_ws(',', """ + ", ".join(f"CASE WHEN NOT check_{c} THEN '{c}' END" for c in RC.CHECKS) + """) AS failed,
+  CASE WHEN """ + " AND ".join(f"check_{c}" for c in RC.CHECKS) + """ THEN 'PASS' ELSE 'FAIL' END AS status FROM r""", ["points"])
+def aud11_contract(spark, sf_dir):
+    return tidy(RC.run_contract(*run_tables(spark, sf_dir), ("direct_rf", "log_distance", "multi_wall_linear"), ["rmse", "mae"], ["target_pl_db", "pred_pl_db"]))
+
+
 def _few(spark, sf_dir):
     from signalgrid.queries.paired import fewshot_predictions
     return fewshot_predictions(spark, sf_dir)

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from signalgrid.operators.percentiles import null_safe_join
+
 
 def moments(features: Sequence[str], target: str) -> list[Column]:
     """Count, means, centred covariances and raw second moments of the features."""
@@ -86,11 +88,19 @@ def linear_prediction(features: Sequence[str], coef: str = "coef", intercept: st
     return out
 
 
+def _with_groups(stats: DataFrame, groups: DataFrame | None, keys: Sequence[str]) -> DataFrame:
+    """Every row of `groups` (one per group), with n = 0 where no anchor was counted."""
+    if groups is None:
+        return stats
+    return null_safe_join(groups.select(*keys), stats, keys).withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
 def log_distance_fits(anchors: DataFrame, keys: Sequence[str], alpha: float = 1e-6, x: str = "log_d",
-                      y: str = "path_loss") -> DataFrame:
+                      y: str = "path_loss", groups: DataFrame | None = None) -> DataFrame:
     """Log-distance ridge per group, in closed form from one aggregate.
 
-    One usable anchor gives a constant, of rank 0. Groups with none are absent and read as 0.
+    One usable anchor gives a constant, of rank 0. Groups with none are known from
+    `groups` (one row per group) and get the constant 0; without it they are absent.
     """
     sxx = F.col("n") * F.col("vxx") + F.lit(float(alpha))
     slope = F.when(F.col("n") >= 2, F.try_divide(F.col("n") * F.col("vxy"), sxx)).otherwise(0.0)
@@ -98,28 +108,30 @@ def log_distance_fits(anchors: DataFrame, keys: Sequence[str], alpha: float = 1e
     stats = anchors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
         F.var_pop(x).alias("vxx"), F.covar_pop(x, y).alias("vxy"), F.max(F.abs(x)).alias("ax"))
+    stats = _with_groups(stats, groups, keys)
     return stats.select(
         *keys,
         F.when(F.col("n") >= 2, "log_distance").otherwise("log_distance_fallback_anchor_mean").alias("status"),
-        slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"),
+        slope.alias("slope"), F.when(F.col("n") == 0, 0.0).otherwise(F.col("my") - slope * F.col("mx")).alias("intercept"),
         F.when((F.col("n") >= 2) & (F.col("ax") > 0), 1).otherwise(0).alias("design_rank"), F.col("n").alias("anchor_count"))
 
 
 def physics_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,
-                 x: str = "log_d", y: str = "path_loss") -> DataFrame:
-    """Log-distance and multi-wall ridge of every group from one aggregation.
+                 x: str = "log_d", y: str = "path_loss", groups: DataFrame | None = None) -> DataFrame:
+    """Log-distance and multi-wall ridge of every group from one aggregation; `groups` as in `log_distance_fits`.
 
     The log-distance line uses the first feature's moments. Multi-wall takes over that
     line, with zero wall losses, where anchors are fewer than max(2, 1 + materials).
     """
     need = max(2, 1 + len(material_columns))
-    stats = anchors.groupBy(*keys).agg(*moments([x, *material_columns], y))
+    stats = anchors.groupBy(*keys).agg(*moments([x, *material_columns], y)).withColumn(
+        "fit", _solve("n", "y_mean", "x_mean", "cov", "cov_y", F.lit(float(alpha))))
+    stats = _with_groups(stats, groups, keys)
     first = F.try_divide(F.col("n") * F.get("cov_y", F.lit(0)), F.col("n") * F.get("cov", F.lit(0)) + F.lit(float(alpha)))
     slope = F.when(F.col("n") >= 2, F.coalesce(first, F.lit(0.0))).otherwise(0.0)
     full = F.col("n") >= need
     solved = stats.withColumn("ld_slope", slope).withColumn(
-        "ld_intercept", F.col("y_mean") - F.col("ld_slope") * F.get("x_mean", F.lit(0))).withColumn(
-        "fit", _solve("n", "y_mean", "x_mean", "cov", "cov_y", F.lit(float(alpha))))
+        "ld_intercept", F.when(F.col("n") == 0, 0.0).otherwise(F.col("y_mean") - F.col("ld_slope") * F.get("x_mean", F.lit(0))))
     line_has_rank = (F.get("cov", F.lit(0)) > 0) | (F.get("x_mean", F.lit(0)) != 0)
     line = F.array("ld_slope", *[F.lit(0.0) for _ in material_columns])
     return solved.select(
@@ -132,9 +144,9 @@ def physics_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequ
 
 
 def multi_wall_fits(anchors: DataFrame, keys: Sequence[str], material_columns: Sequence[str], alpha: float = 1e-6,
-                    x: str = "log_d", y: str = "path_loss") -> DataFrame:
+                    x: str = "log_d", y: str = "path_loss", groups: DataFrame | None = None) -> DataFrame:
     """Multi-wall ridge per group, falling back to log-distance when anchors are too few."""
-    return physics_fits(anchors, keys, material_columns, alpha, x, y).select(
+    return physics_fits(anchors, keys, material_columns, alpha, x, y, groups).select(
         *keys, F.col("mw_status").alias("status"), F.col("mw_coef").alias("coef"), F.col("mw_intercept").alias("intercept"),
         F.col("mw_rank").alias("design_rank"), "anchor_count")
 

@@ -263,6 +263,20 @@ def fit1(spark, sf_dir):
     return tidy(fits.log_distance_fits(taken, ev.SWEEP).select("sample_id", "seed", "status", "slope", "intercept", "anchor_count"))
 
 
+@query("fit1_maps_without_anchors", FIT_CHAIN + """, near AS (SELECT sample_id, seed, count(path_loss) AS n, avg(path_loss) AS my, avg(log_d) AS mx, count(path_loss) * covar_pop(log_d, path_loss) / (count(path_loss) * var_pop(log_d) + 1e-6) AS w
+  FROM anchors WHERE y = 0 AND path_loss IS NOT NULL GROUP BY 1, 2),
+every AS (SELECT m.sample_id, s.seed FROM (SELECT DISTINCT sample_id FROM cells) m, (SELECT DISTINCT seed FROM anchors) s)
+SELECT sample_id, CAST(seed AS BIGINT) AS seed, coalesce(n, 0) AS anchor_count, CASE WHEN n >= 2 THEN 'log_distance' ELSE 'log_distance_fallback_anchor_mean' END AS status,
+  coalesce(n, 0) >= 2 AS fitted, round(CASE WHEN n >= 2 THEN w ELSE 0 END, 5) AS slope,
+  round(coalesce(my - CASE WHEN n >= 2 THEN w ELSE 0 END * mx, 0), 5) AS intercept FROM every LEFT JOIN near USING (sample_id, seed)""", ["cells"])
+def fit1_empty(spark, sf_dir):
+    """Only anchors of the first raster row count, so most maps have one or none; every map and seed keeps its row."""
+    every = maps(spark, sf_dir).select("sample_id").distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    near = sampling.usable_anchors(anchors(spark, sf_dir)).where("y = 0")
+    out = fits.log_distance_fits(near, ["sample_id", "seed"], groups=every)
+    return tidy(out.select("sample_id", "seed", "anchor_count", "status", (F.col("status") == "log_distance").alias("fitted"), "slope", "intercept"), 5)
+
+
 @query("fit2_multi_wall", FIT_CHAIN + """
 SELECT sample_id, CAST(seed AS BIGINT) AS seed, status, round(w0, 4) AS w_log, round(w1, 4) AS w_mat_1, round(w2, 4) AS w_mat_2,
   round(w3, 4) AS w_mat_3, round(intercept, 4) AS intercept, anchor_count FROM wall_fits""", ["cells"])

@@ -146,40 +146,39 @@ def discover_samples(inputs: DataFrame, outputs: DataFrame, task: int) -> tuple[
     return samples, tagged.where("problem IS NOT NULL").select("name", "problem")
 
 
-IMAGE_SCHEMA = "name string, height int, width int, y int, x int, c0 int, c1 int, c2 int"
+PAIR_SCHEMA = "sample_id string, y int, x int, height int, width int, reflectance double, transmittance double, distance_img double, path_loss double"
 
 
-def _decode_images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Both images of a sample at once; images of different shapes end the job."""
     for batch in batches:
-        for name, h, w, channels, data in zip(batch["name"], batch["height"], batch["width"], batch["nChannels"], batch["data"], strict=True):
-            pixels = np.frombuffer(data, dtype=np.uint8).reshape(int(h), int(w), int(channels)).astype("int32")
-            ys, xs = np.indices((int(h), int(w)))
-
-            def plane(i, pixels=pixels, channels=int(channels)):
-                return pixels[:, :, min(i, channels - 1)].ravel()
-            yield pd.DataFrame({"name": name, "height": int(h), "width": int(w), "y": ys.ravel().astype("int32"),
-                                "x": xs.ravel().astype("int32"), "c0": plane(0), "c1": plane(1), "c2": plane(2)})
-
-
-def image_pixels(images: DataFrame) -> DataFrame:
-    """Pixel rows of images given in the schema of Spark's image source."""
-    stem = F.regexp_extract("image.origin", r"([^/]+?)\.[^./]*$", 1)
-    flat = images.select(stem.alias("name"), "image.height", "image.width", "image.nChannels", "image.data")
-    return flat.mapInPandas(_decode_images, IMAGE_SCHEMA)
+        for pair in batch.itertuples(index=False):
+            if (pair.h_in, pair.w_in) != (pair.h_out, pair.w_out):
+                raise ValueError(f"images of different shapes: {pair.sample_id} has {pair.h_in} x {pair.w_in} and {pair.h_out} x {pair.w_out}")
+            shape = (int(pair.h_in), int(pair.w_in))
+            # Stored as B, G, R; an image of fewer channels answers with its last one.
+            planes = np.frombuffer(pair.d_in, dtype=np.uint8).reshape(*shape, -1)
+            loss = np.frombuffer(pair.d_out, dtype=np.uint8).reshape(*shape, -1)
+            blue, green, red = (planes[:, :, min(i, planes.shape[2] - 1)].ravel().astype(float) for i in range(3))
+            ys, xs = np.indices(shape, dtype="int32")
+            yield pd.DataFrame({"sample_id": pair.sample_id, "y": ys.ravel(), "x": xs.ravel(), "height": shape[0], "width": shape[1], "reflectance": red,
+                                "transmittance": green, "distance_img": blue, "path_loss": loss[:, :, min(2, loss.shape[2] - 1)].ravel().astype(float)})
 
 
 def image_cells(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Cells from input images (colour: reflectance, transmittance, distance) and path-loss images.
 
-    Spark stores colour bytes as B, G, R. A colour path-loss image counts by its first
-    (red) channel. Cells of images with different shapes do not pair up; see
-    `shape_mismatches`.
+    A colour path-loss image counts by its red channel. Images are paired by name before
+    they are decoded, so whole files are shuffled instead of pixels. A pair of unequal
+    shapes ends the job (`shape_mismatches` lists them); an image without a partner is
+    reported by `discover_samples` and gives no cells.
     """
-    a = image_pixels(inputs).select(
-        F.col("name").alias("sample_id"), "y", "x", "height", "width", F.col("c2").cast("double").alias("reflectance"),
-        F.col("c1").cast("double").alias("transmittance"), F.col("c0").cast("double").alias("distance_img"))
-    b = image_pixels(outputs).select(F.col("name").alias("sample_id"), "y", "x", F.col("c2").cast("double").alias("path_loss"))
-    return a.join(b, ["sample_id", "y", "x"]).withColumn("valid", F.col("path_loss").isNotNull()).withColumn("wall", wall_mask())
+    stem = F.regexp_extract("image.origin", r"([^/]+?)\.[^./]*$", 1)
+
+    def files(df, tag):
+        return df.select(stem.alias("sample_id"), F.col("image.height").alias(f"h_{tag}"), F.col("image.width").alias(f"w_{tag}"), F.col("image.data").alias(f"d_{tag}"))
+    cells = files(inputs, "in").join(files(outputs, "out"), "sample_id").mapInPandas(_decode_pairs, PAIR_SCHEMA)
+    return cells.withColumn("valid", F.col("path_loss").isNotNull()).withColumn("wall", wall_mask())
 
 
 def shape_mismatches(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -57,3 +57,51 @@ def test_targets_and_matches(spark):
 def test_require_keeps_rows(spark):
     rows = spark.range(3)
     assert contracts.require(rows, rows["id"] >= 0, "never", ["id"]).count() == 3
+
+
+def test_fixed_split(spark):
+    from signalgrid.operators import splits
+
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "scene string, i int")
+
+    def listed(*pairs):
+        return spark.createDataFrame(list(pairs), "scene string, side string")
+    whole = listed(("a", "train"), ("b", "val"), ("c", "train"))
+    assert {(r["i"], r["side"]) for r in splits.fixed_split(rows, "scene", whole).collect()} == {(1, "train"), (2, "train"), (3, "val"), (4, "train")}
+    for extra, name in (([("c", "val")], "c"), ([("z", "val")], "z"), ([("a", "train")], "a")):
+        with pytest.raises(Exception, match=f"every group once: _group={name}"):
+            splits.fixed_split(rows, "scene", whole.unionByName(listed(*extra))).collect()
+    with pytest.raises(Exception, match="every group once: _group=c"):
+        splits.fixed_split(rows, "scene", whole.where("scene <> 'c'")).collect()
+    with pytest.raises(ValueError, match="both sides"):
+        splits.fixed_split(rows, "scene", whole.where("side = 'train'"))
+
+
+def test_groups_without_anchors_keep_a_row(spark):
+    from signalgrid.operators import fits
+
+    anchors = spark.createDataFrame([("a", 0.0, 1.0, 50.0), ("a", 1.0, 0.0, 70.0), ("a", 2.0, 2.0, 90.0), ("b", 1.0, 0.0, 64.0), (None, 1.0, 0.0, 8.0)], "k string, log_d double, w double, path_loss double")
+    groups = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "k string")
+    line = {r["k"]: r for r in fits.log_distance_fits(anchors, ["k"], groups=groups).collect()}
+    assert [(line[k]["anchor_count"], line[k]["slope"] > 0, line[k]["intercept"], line[k]["design_rank"]) for k in ("b", "c", None)] == [
+        (1, False, 64.0, 0), (0, False, 0.0, 0), (1, False, 8.0, 0)]
+    assert line["c"]["status"] == "log_distance_fallback_anchor_mean" and line["a"]["slope"] == pytest.approx(20, abs=1e-4)
+    walls = {r["k"]: r for r in fits.multi_wall_fits(anchors, ["k"], ["w"], groups=groups).collect()}
+    assert walls["c"]["status"] == "multi_wall_fallback_log_distance" and (walls["c"]["coef"], walls["c"]["intercept"], walls["c"]["anchor_count"]) == ([0.0, 0.0], 0.0, 0)
+    assert walls["a"]["status"] == "multi_wall" and len(walls) == 4 and fits.multi_wall_fits(anchors, ["k"], ["w"]).count() == 3
+
+
+def test_images_of_different_shapes_end_the_job(spark):
+    from signalgrid.sources import rasters
+
+    def image(name, height, width, channels, data):
+        return (f"/x/{name}.png", height, width, channels, bytearray(data))
+
+    def frame(*rows):
+        flat = spark.createDataFrame(list(rows), "origin string, height int, width int, nChannels int, data binary")
+        return flat.selectExpr("named_struct('origin', origin, 'height', height, 'width', width, 'nChannels', nChannels, 'data', data) AS image")
+    good = image("s", 1, 2, 3, [1, 2, 3, 4, 5, 6])
+    cells = rasters.image_cells(frame(good), frame(image("s", 1, 2, 1, [7, 8]))).orderBy("x").collect()
+    assert [(r["distance_img"], r["transmittance"], r["reflectance"], r["path_loss"]) for r in cells] == [(1, 2, 3, 7), (4, 5, 6, 8)]
+    with pytest.raises(Exception, match="images of different shapes: s has 1 x 2 and 2 x 1"):
+        rasters.image_cells(frame(good), frame(image("s", 2, 1, 1, [7, 8]))).collect()

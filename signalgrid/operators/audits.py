@@ -124,6 +124,43 @@ def boolean_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return row.unpivot([], list(checks), "name", "passed")
 
 
+def _values_are(column: str, expected: Sequence, bounded: Column | None = None) -> Column:
+    """True when the column's values are exactly `expected`; a null is a foreign value."""
+    c = F.col(column) if bounded is None else bounded
+    return (F.min(F.coalesce(c.isin(*expected), F.lit(False)))) & (F.countDistinct(c) == len(expected))
+
+
+def fewshot_audit(fewshot: DataFrame, zero: DataFrame, summaries: DataFrame, methods: Sequence[str], folds: Sequence[str],
+                  fractions: Sequence[float], anchor_seeds: Sequence[int], model_seed: int = 11) -> DataFrame:
+    """The twelve conditions on few-shot predictions and the run they adapt, as rows (name, passed).
+
+    `summaries` has one row per kind (fewshot, zero) with the split and seed it states.
+    Repeats are counted per prediction before anything is summed, so no group is large.
+    """
+    keys = ["row_uid", "fold", "method", "anchor_fraction", "anchor_seed", "model_seed"]
+    adapted = fewshot.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), _worst_anchor().alias("anchor"))
+    base = zero.groupBy("row_uid", "fold", "method").agg(F.count(F.lit(1)).alias("copies"))
+
+    def stated(kind, column, value):
+        return F.min(F.when(F.col("kind") == kind, F.col(column).eqNullSafe(F.lit(value))))
+    parts = (
+        boolean_checks(summaries, {
+            "fewshot_split": stated("fewshot", "split", "leave_scenario_fewshot"), "zero_shot_split": stated("zero", "split", "leave_scenario_out"),
+            f"fewshot_model_seed_{model_seed}": stated("fewshot", "seed", model_seed), f"zero_shot_seed_{model_seed}": stated("zero", "seed", model_seed)}),
+        boolean_checks(adapted, {
+            "fewshot_methods_complete": _values_are("method", methods), "folds_complete": _values_are("fold", folds),
+            "fractions_complete": _values_are("anchor_fraction", fractions, F.round("anchor_fraction", 2)),
+            "anchor_seeds_complete": _values_are("anchor_seed", anchor_seeds), "model_seed_constant": _values_are("model_seed", [model_seed]),
+            "anchors_excluded": ~F.max("anchor"), "fewshot_predictions_unique": F.max("copies") == 1}),
+        boolean_checks(base, {"zero_shot_predictions_unique": F.max("copies") == 1}))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _worst_anchor() -> Column:
+    """True when some row is an anchor or does not say."""
+    return F.max(F.coalesce(F.col("is_anchor"), F.lit(True)))
+
+
 def grid_mismatches(actual: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys missing from, foreign to, or repeated in a result table."""
     have = actual.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"))

@@ -237,6 +237,42 @@ def aud12(spark, sf_dir):
         "predictions_unique": F.max("copies") == 1})
 
 
+def _few_audit_sql() -> str:
+    from signalgrid.queries.paired import FEW
+    names = "('holdout_Annex', 'holdout_North', 'holdout_River')"
+    return FEW + f""", a AS (SELECT 'given' AS audit, concat('holdout_', scenario) AS fold, * EXCLUDE (raw, n, rn) FROM marked WHERE NOT is_anchor
+  UNION ALL SELECT 'faulty', concat('holdout_', scenario), * EXCLUDE (raw, n, rn) FROM marked WHERE anchor_fraction < 0.02
+  UNION ALL SELECT 'faulty', concat('holdout_', scenario), * EXCLUDE (raw, n, rn) FROM marked WHERE anchor_fraction < 0.02 AND scenario = 'River'),
+z AS (SELECT 'given' AS audit, row_uid, fold, random_seed FROM point_preds WHERE method = 'log_distance' AND random_seed = 11
+  UNION ALL SELECT 'faulty', row_uid, fold, random_seed FROM point_preds WHERE method = 'log_distance'
+  UNION ALL SELECT 'faulty', row_uid, fold, random_seed FROM point_preds WHERE method = 'log_distance' AND fold = 'holdout_Annex'),
+g AS (SELECT audit, count(*) FILTER (fold NOT IN {names}) = 0 AND count(DISTINCT fold) = 3 AS folds, count(DISTINCT round(anchor_fraction, 2)) = 2 AS fractions, count(DISTINCT anchor_seed) = 2 AS seeds,
+  NOT bool_or(is_anchor) AS excluded, count(*) = count(DISTINCT (row_uid, fold, anchor_fraction, anchor_seed)) AS uniq FROM a GROUP BY 1),
+y AS (SELECT audit, max(random_seed) = 11 AS seed, count(*) = count(DISTINCT (row_uid, fold)) AS uniq FROM z GROUP BY 1)
+SELECT g.audit, u.name, u.ok AS passed FROM g JOIN y USING (audit), LATERAL (VALUES ('fewshot_split', g.audit = 'given'), ('zero_shot_split', true), ('fewshot_model_seed_11', true), ('zero_shot_seed_11', y.seed),
+  ('fewshot_methods_complete', g.audit = 'given'), ('folds_complete', g.folds), ('fractions_complete', g.fractions), ('anchor_seeds_complete', g.seeds), ('model_seed_constant', g.audit = 'given'),
+  ('anchors_excluded', g.excluded), ('fewshot_predictions_unique', g.uniq), ('zero_shot_predictions_unique', y.uniq)) u(name, ok)"""
+
+
+@query("aud12_fewshot_inputs", _few_audit_sql(), ["points"])
+def aud12_inputs(spark, sf_dir):
+    """All twelve conditions, on the given predictions and on a copy with faults: anchors scored, a fraction missing, folds repeated."""
+    from signalgrid.queries.paired import ANCHOR_SEEDS, FRACTIONS, fewshot_marked, zero_shot
+    columns = ["row_uid", "fold", "method", "anchor_fraction", "anchor_seed", "model_seed", "is_anchor"]
+    rows = fewshot_marked(spark, sf_dir).select(*columns)
+    low = rows.where("anchor_fraction < 0.02").withColumns({"method": F.lit("other"), "model_seed": F.lit(12)})
+    zero = zero_shot(spark, sf_dir)
+    variants = {"given": (rows.where("NOT is_anchor"), zero.where("random_seed = 11"), "leave_scenario_fewshot"),
+                "faulty": (low.unionByName(low.where("fold = 'holdout_River'")), zero.unionByName(zero.where("fold = 'holdout_Annex'")), "leave_scenario_out")}
+    out = []
+    for name, (few, base, split_name) in variants.items():
+        stated = base.agg(F.lit("zero").alias("kind"), F.max("split").alias("split"), F.max("random_seed").alias("seed")).unionByName(
+            few.agg(F.lit("fewshot").alias("kind"), F.lit(split_name).alias("split"), F.lit(11).alias("seed")))
+        audit = A.fewshot_audit(few, base, stated, ["bias_calibrated_log_distance"], [f"holdout_{s}" for s in views.SCENARIOS], FRACTIONS, ANCHOR_SEEDS)
+        out.append(audit.withColumn("audit", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 @query("aud13_grid_contract", """WITH a AS (SELECT task, method, sparse_seed, count(*) AS have FROM run_metrics GROUP BY 1, 2, 3),
 w AS (SELECT t.task, m.method, CAST(s.seed AS INT) AS sparse_seed FROM (VALUES ('task1'), ('task2'), ('task3')) t(task), (VALUES ('residual_extra'), ('direct_rf'), ('multi_wall'), ('idw')) m(method), (VALUES (11), (22), (33)) s(seed))
 SELECT task, method, CAST(sparse_seed AS BIGINT) AS sparse_seed, CASE WHEN a.have IS NULL THEN 'missing' WHEN w.task IS NULL THEN 'unexpected' ELSE 'duplicate' END AS problem

@@ -285,7 +285,8 @@ def sta15(spark, sf_dir):
 FRACTIONS, ANCHOR_SEEDS = (0.01, 0.05), (101, 202)
 
 
-def fewshot_predictions(spark, sf_dir) -> DataFrame:
+def _swept(spark, sf_dir) -> DataFrame:
+    """Every point under every fraction and anchor seed, with the mark of the anchors."""
     rows = views.points(spark, sf_dir).select(
         "row_uid", "scenario", "config", F.col("pl_db").alias("target_pl_db"), (40.0 + 20.0 * F.log10("distance_m")).alias("raw"))
     bound = scan_rows(spark, sf_dir, "lineitem")
@@ -295,7 +296,17 @@ def fewshot_predictions(spark, sf_dir) -> DataFrame:
         rank = hashing.stable_hash(F.lit("fewshot"), F.lit("fraction"), F.lit(repr(fraction)), "anchor_seed", "row_uid")
         parts.append(sampling.take_smallest(swept, ["scenario", "anchor_fraction", "anchor_seed"], sampling.fewshot_count("fraction", fraction, 0),
                                             rank, ("row_uid",), bound, mark="is_anchor"))
-    marked = parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1])
+
+
+def fewshot_marked(spark, sf_dir) -> DataFrame:
+    """Keys of few-shot predictions before the anchors are taken out."""
+    return _swept(spark, sf_dir).withColumns({
+        "fold": F.concat(F.lit("holdout_"), "scenario"), "method": F.lit("bias_calibrated_log_distance"), "model_seed": F.lit(11)})
+
+
+def fewshot_predictions(spark, sf_dir) -> DataFrame:
+    marked = _swept(spark, sf_dir)
     out = fits.bias_calibrated(marked.where("NOT is_anchor"), marked.where("is_anchor"), ["scenario", "anchor_fraction", "anchor_seed"], "raw", "target_pl_db")
     return out.select("row_uid", "scenario", "config", F.concat(F.lit("holdout_"), "scenario").alias("fold"), F.lit("bias_calibrated_log_distance").alias("method"),
                       "anchor_fraction", "anchor_seed", F.lit(11).alias("model_seed"), "target_pl_db", F.col("calibrated").alias("pred_pl_db"), "is_anchor")

@@ -90,3 +90,21 @@ def test_runs_nobody_planned(spark):
     _, _, runs, folds, samples, pooled = tables(spark, [1, 2])
     planned = spark.createDataFrame([("p", 1)], "run_split string, run_seed int")
     assert [tuple(r) for r in RC.unplanned_runs(planned, runs, folds, samples, pooled).collect()] == [("p", 2)]
+
+
+def test_fewshot_audit_counts_nulls_and_repeats_as_faults(spark):
+    from signalgrid.operators.audits import fewshot_audit
+
+    few = "row_uid string, fold string, method string, anchor_fraction double, anchor_seed int, model_seed int, is_anchor boolean"
+    zero = spark.createDataFrame([("u", "f", "m", 11)], "row_uid string, fold string, method string, random_seed int")
+    stated = spark.createDataFrame([("fewshot", "leave_scenario_fewshot", 11), ("zero", "leave_scenario_out", None)], "kind string, split string, seed int")
+
+    def failed(*rows):
+        out = fewshot_audit(spark.createDataFrame(list(rows), few), zero, stated, ["m"], ["f"], [0.01], [1])
+        return {r["name"] for r in out.collect() if not r["passed"]} - {"zero_shot_seed_11"}
+    good = ("u", "f", "m", 0.0100001, 1, 11, False)
+    assert failed(good, ("v", *good[1:])) == set()
+    assert failed(good, good) == {"fewshot_predictions_unique"}
+    assert failed(good, ("v", None, None, 0.01, None, 12, None)) == {
+        "folds_complete", "fewshot_methods_complete", "anchor_seeds_complete", "model_seed_constant", "anchors_excluded"}
+    assert len(failed()) == 7

@@ -16,7 +16,7 @@ Null or empty texts are one end symbol. Words of any length are scored whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -262,8 +262,16 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
     return h[order], c[order], cutoff
 
 
-def score(docs: DataFrame, model_path: str, most_frequent: int = FREQUENT, passes: int = PASSES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
+def add_one(n: int, v: int) -> int:
+    """Denominator of add-one smoothing with one place for unseen tokens: N + 1 * (V + 1)."""
+    return n + (v + 1)
+
+
+def score(docs: DataFrame, model_path: str, most_frequent: int = FREQUENT, passes: int = PASSES,
+          denominator: Callable[[int, int], int] = lambda n, v: (n + 1) * (v + 1)) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document.
+
+    `denominator` of (training tokens, distinct ones) divides a token's count plus one in the base score."""
     context = docs.sparkSession.sparkContext
     train = docs.where(~held_out() | F.col("doc_id").isNull())
     counts = materialise(word_counts(train), "word-counts")
@@ -308,7 +316,7 @@ def score(docs: DataFrame, model_path: str, most_frequent: int = FREQUENT, passe
     # Training words below the cutoff; a word that is not there has never been seen.
     found = rare.join(counts.where(F.col("c") < cutoff).select("h", "c"), "h").groupBy("rid").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_base"))
-    unit = math.log10((n + 1) * (v + 1))
+    unit = math.log10(denominator(n, v))
     end_gain = math.log10(n_docs + 1)
     return scored.drop("rare", "times").join(found, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
@@ -321,4 +329,4 @@ def score(docs: DataFrame, model_path: str, most_frequent: int = FREQUENT, passe
 def op8_subword_lattice(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return score(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return score(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), denominator=add_one)

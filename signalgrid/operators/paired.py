@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,14 +143,21 @@ def building_summary(paired: DataFrame, primary: str, rows_bound: int | None = N
 
 
 def sign_test(positive: Column, negative: Column) -> Column:
-    """Exact two-sided sign test without ties; null when nothing was decided."""
+    """Exact two-sided sign test without ties; null when nothing was decided.
+
+    Beyond 1,000 pairs binomial numbers and powers of two leave the range of doubles, so
+    terms are then carried as logarithms."""
     n = positive + negative
+    steps = F.sequence(F.lit(0), F.least(positive, negative).cast("int"))
     tail = F.aggregate(
-        F.sequence(F.lit(0), F.least(positive, negative).cast("int")),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
+        steps, F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
         lambda a, i: F.struct((a["term"] * (n - i) / (i + 1)).alias("term"), (a["total"] + a["term"]).alias("total")),
         lambda a: a["total"])
-    return F.when(n > 0, F.least(F.lit(1.0), 2.0 * tail / F.pow(F.lit(2.0), n)))
+    share = F.aggregate(
+        steps, F.struct((n * F.lit(-math.log(2.0))).alias("term"), F.lit(0.0).alias("total")),
+        lambda a, i: F.struct((a["term"] + F.coalesce(F.ln((n - i) / (i + 1)), F.lit(0.0))).alias("term"), (a["total"] + F.exp(a["term"])).alias("total")),
+        lambda a: a["total"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2.0 * F.when(n <= 1000, tail / F.pow(F.lit(2.0), n)).otherwise(share)))
 
 
 def cluster_bootstrap(buildings: DataFrame, keys: Sequence[str], iterations: int = 20_000, confidence: float = 0.95,

@@ -295,7 +295,7 @@ def _swept(spark, sf_dir) -> DataFrame:
         swept = rows.withColumn("anchor_seed", F.explode(F.array(*[F.lit(s) for s in ANCHOR_SEEDS]))).withColumn("anchor_fraction", F.lit(fraction))
         rank = hashing.stable_hash(F.lit("fewshot"), F.lit("fraction"), F.lit(repr(fraction)), "anchor_seed", "row_uid")
         parts.append(sampling.take_smallest(swept, ["scenario", "anchor_fraction", "anchor_seed"], sampling.fewshot_count("fraction", fraction, 0),
-                                            rank, ("row_uid",), bound, mark="is_anchor"))
+                                            rank, ("row_uid",), bound, mark="is_anchor", few_groups=True))
     return parts[0].unionByName(parts[1])
 
 

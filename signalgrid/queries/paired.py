@@ -202,7 +202,7 @@ def pooled_seed(spark, sf_dir) -> DataFrame:
 
 
 def macro_seed(spark, sf_dir) -> DataFrame:
-    return S.fold_rows(spark, sf_dir).groupBy("split", "method", "random_seed").agg(F.avg("rmse").alias("rmse"))
+    return S.fold_means(spark, sf_dir).groupBy("split", "method", "random_seed").agg(F.avg("rmse").alias("rmse"))
 
 
 @query("sta11_rankings_union", S.FOLD_ROWS + ", " + POOLED_SEED + """, p AS (SELECT split, method, avg(rmse) AS rmse FROM pooled_seed GROUP BY 1, 2), m AS (SELECT split, method, avg(rmse) AS rmse FROM macro_seed GROUP BY 1, 2)
@@ -236,7 +236,7 @@ FOLD_CMP = S.FOLD_ROWS + """, fc AS (SELECT a.split, a.random_seed, a.fold, a.me
 @query("sta13_fold_comparison", FOLD_CMP + """SELECT split, CAST(random_seed AS BIGINT) AS random_seed, fold, method, baseline, round(method_rmse, 5) AS method_rmse, round(baseline_rmse, 5) AS baseline_rmse,
   round(d, 5) AS rmse_difference, round(100 * d / baseline_rmse, 5) AS rmse_improvement_percent, CASE WHEN d > 1e-12 THEN 'method' WHEN d < -1e-12 THEN 'baseline' ELSE 'tie' END AS winner FROM fc""", ["points"])
 def sta13(spark, sf_dir):
-    return tidy(R.fold_comparison(S.fold_rows(spark, sf_dir), "split", BASE2), 5)
+    return tidy(R.fold_comparison(S.fold_means(spark, sf_dir), "split", BASE2), 5)
 
 
 POINT_CMP = """, pc AS (SELECT a.split, a.random_seed, a.method, b.method AS baseline, abs(a.e) AS ea, abs(b.e) AS eb FROM point_preds a JOIN point_preds b USING (split, random_seed, fold, row_uid)
@@ -263,7 +263,7 @@ k AS (SELECT DISTINCT split, random_seed, fold FROM fold_rows), n AS (SELECT k.*
 SELECT split, CAST(random_seed AS BIGINT) AS random_seed, fold, method, baseline, l AS left_rows, r AS right_rows,
   CASE WHEN l = 0 THEN 'missing_left' WHEN r = 0 THEN 'missing_right' ELSE 'repeated' END AS problem FROM n WHERE l + r > 0 AND (l <> 1 OR r <> 1)""", ["points"])
 def sta13_problems(spark, sf_dir):
-    return tidy(R.side_problems(S.fold_rows(spark, sf_dir), ["split", "random_seed", "fold"], BASE2))
+    return tidy(R.side_problems(S.fold_means(spark, sf_dir), ["split", "random_seed", "fold"], BASE2))
 
 
 @query("sta15_comparison_summary", IMPROVE + FOLD_CMP[len(S.FOLD_ROWS):] + POINT_CMP + """, s AS (SELECT split, method, baseline, count(DISTINCT random_seed) AS num_seeds, avg(pm) AS pm_mean,
@@ -276,7 +276,7 @@ SELECT split, method, baseline, num_seeds, round(pm_mean, 5) AS pooled_method_rm
 FROM s JOIN f USING (split, method, baseline) JOIN p USING (split, method, baseline)""", ["points"])
 def sta15(spark, sf_dir):
     seeds = R.per_seed_improvement(pooled_seed(spark, sf_dir), macro_seed(spark, sf_dir), "split", BASE2)
-    folds = R.fold_comparison(S.fold_rows(spark, sf_dir), "split", BASE2)
+    folds = R.fold_comparison(S.fold_means(spark, sf_dir), "split", BASE2)
     points = R.point_comparison(point_pairs(spark, sf_dir), ["split", "random_seed"])
     return tidy(R.comparison_summary(seeds, folds, points, "split"), 5)
 
@@ -390,7 +390,7 @@ UNION ALL SELECT 'grouped_macro', method, round(avg(rmse), 6) FROM macro_seed GR
 def sta22(spark, sf_dir):
     def mean(df):
         return df.groupBy("method").agg(F.avg("rmse").alias("rmse"))
-    folds = S.fold_rows(spark, sf_dir).groupBy("fold", "method").agg(F.avg("rmse").alias("rmse")).withColumnRenamed("fold", "condition_id")
+    folds = S.fold_means(spark, sf_dir).groupBy("fold", "method").agg(F.avg("rmse").alias("rmse")).withColumnRenamed("fold", "condition_id")
     stacked = R.stack_sources({"grouped_pooled": mean(pooled_seed(spark, sf_dir)), "grouped_macro": mean(macro_seed(spark, sf_dir))})
     return tidy(stacked.unionByName(folds))
 

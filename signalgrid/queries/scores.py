@@ -211,6 +211,12 @@ def fold_rows(spark, sf_dir) -> DataFrame:
                            rows_bound=scan_rows(spark, sf_dir, "lineitem")).select("split", "method", "random_seed", "fold", "rmse", "mae", "p90_ae")
 
 
+def fold_means(spark, sf_dir) -> DataFrame:
+    """`fold_rows` without its percentile, for those that do not read it: one aggregation whatever the size of a fold."""
+    rows = M.marked_error(point_predictions(spark, sf_dir), "pred_pl_db", "target_pl_db")
+    return rows.groupBy("split", "method", "random_seed", "fold").agg(*M.core_columns("pop")).select("split", "method", "random_seed", "fold", "rmse", "mae")
+
+
 @query("met14_macro_mean", FOLD_ROWS + """SELECT split, method, CAST(random_seed AS BIGINT) AS random_seed, count(*) AS folds, round(avg(rmse), 6) AS rmse,
   round(avg(mae), 6) AS mae, round(avg(p90_ae), 6) AS p90_ae FROM fold_rows GROUP BY 1, 2, 3""", ["points"])
 def met14(spark, sf_dir):
@@ -227,7 +233,7 @@ def met15(spark, sf_dir):
 @query("met16_best_method", FOLD_ROWS + """SELECT fold, CAST(random_seed AS BIGINT) AS random_seed, method AS best_method, round(rmse, 6) AS best_rmse FROM (
   SELECT *, row_number() OVER (PARTITION BY fold, random_seed ORDER BY rmse, method) AS rn FROM fold_rows) WHERE rn = 1""", ["points"])
 def met16(spark, sf_dir):
-    return tidy(M.best_by(fold_rows(spark, sf_dir), ["fold", "random_seed"]))
+    return tidy(M.best_by(fold_means(spark, sf_dir), ["fold", "random_seed"]))
 
 
 @query("met17_across_seeds", "SELECT sparse_rate, method, " + ", ".join(

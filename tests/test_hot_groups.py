@@ -59,3 +59,25 @@ def test_places_are_answered_once(spark, monkeypatch):
         if not anchor:
             near = [((math.hypot(x - p[2], y - p[3]) + 1e-6) ** -2, p[4]) for p in data if p[5] and p[1] == k]
             assert math.isclose(got[u], sum(w * v for w, v in near) / sum(w for w, _ in near), rel_tol=1e-9)
+
+
+def test_fold_means_need_one_aggregation(spark, monkeypatch):
+    from signalgrid.queries import load_all, scores
+
+    monkeypatch.setattr(scores, "scan_rows", lambda *a: None)  # no proof that a fold is small
+    for name in ("met16_best_method", "sta11_rankings_union", "sta13_fold_comparison", "sta13_key_problems", "sta15_comparison_summary", "sta22_stacked_sources"):
+        shown = load_all()[name].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "percentile" not in shown and "LeftAnti" not in shown
+
+
+def test_adaptation_summary_reads_pairs_once(spark):
+    from signalgrid.operators import reports
+
+    pairs = spark.range(40).select(
+        F.lit(0.01).alias("anchor_fraction"), (F.col("id") % 2).alias("anchor_seed"), (F.col("id") % 5).cast("string").alias("fold"),
+        F.lit(1.0).alias("target_pl_db"), (F.col("id") * 1.0).alias("pred_pl_db"), (F.col("id") * 2.0).alias("baseline_pred_pl_db"))
+    out = reports.adaptation_summary(pairs)
+    assert out.first()["num_scenarios"] == 5
+    errors = [[(i - 1.0) ** 2 for i in range(s, 40, 2)] for s in (0, 1)]
+    assert math.isclose(out.first()["adapted_rmse_mean"], sum(math.sqrt(sum(e) / 20) for e in errors) / 2)
+    assert "Range (" not in plan(out)  # what is read twice are the sums

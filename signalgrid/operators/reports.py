@@ -11,7 +11,8 @@ from signalgrid.functions.pathloss import improvement_percent
 from signalgrid.operators.contracts import pair_problems, require
 from signalgrid.operators.paired import ranked, winner
 from signalgrid.operators.percentiles import exact_percentiles, null_safe_join
-from signalgrid.skew import MAX_GROUP_ROWS, split_hot
+from signalgrid.session import materialise
+from signalgrid.skew import MAX_GROUP_ROWS, fits_one_task, split_hot
 
 
 def _sides(df: DataFrame, keys: Sequence[str], columns: Sequence[str], baselines: Sequence[str], methods: Sequence[str] | None) -> DataFrame:
@@ -124,13 +125,17 @@ def unmatched_adaptations(pairs: DataFrame) -> DataFrame:
 
 
 def adaptation_gains(pairs: DataFrame, keys: Sequence[str], rows_bound: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Metrics of both sides, gains and point wins per key, from one aggregation while groups are small."""
+    """Metrics of both sides, gains and point wins per key, from one aggregation while groups are small.
+
+    Without a proof of that the errors are written once, as percentiles of large groups read them several times."""
     rows = pairs.withColumn("_a", F.abs(F.col("pred_pl_db") - F.col("target_pl_db"))).withColumn(
         "_b", F.abs(F.col("baseline_pred_pl_db") - F.col("target_pl_db")))
     aggs = [
         F.count(F.lit(1)).alias("test_count"), F.count(F.when(F.col("_a") < F.col("_b"), 1)).alias("adapted_point_wins"),
         F.count(F.when(F.col("_b") < F.col("_a"), 1)).alias("baseline_point_wins")]
     sides = (("_a", "adapted"), ("_b", "baseline"))
+    if not fits_one_task(rows_bound, max_group_rows):
+        rows = materialise(rows.select(*keys, "_a", "_b"), "adaptation-errors")
     for c, tag in sides:
         aggs += [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{tag}_rmse"), F.avg(c).alias(f"{tag}_mae")]
     cold, hot = split_hot(rows, keys, rows_bound, max_group_rows)
@@ -148,21 +153,22 @@ def adaptation_gains(pairs: DataFrame, keys: Sequence[str], rows_bound: int | No
 
 def adaptation_summary(pairs: DataFrame, fraction: str = "anchor_fraction", seed: str = "anchor_seed") -> DataFrame:
     """Pooled per anchor seed, then mean and spread per fraction, with seed and scenario wins."""
-    def rmse(pred):
-        e = F.col(pred) - F.col("target_pl_db")
-        return F.sqrt(F.avg(e * e))
-
-    def mae(pred):
-        return F.avg(F.abs(F.col(pred) - F.col("target_pl_db")))
     sides = [("pred_pl_db", "adapted"), ("baseline_pred_pl_db", "baseline")]
-    per_seed = pairs.groupBy(fraction, seed).agg(*[f(p).alias(f"{t}_{n}") for p, t in sides for f, n in ((rmse, "rmse"), (mae, "mae"))])
+    error = {t: F.col(p) - F.col("target_pl_db") for p, t in sides}
+    # One pass over the pairs; the folds' sums are then added up for the seeds.
+    sums = materialise(pairs.groupBy(fraction, seed, "fold").agg(*[c for t, e in error.items() for c in (
+        F.sum(e * e).alias(f"{t}_q"), F.sum(F.abs(e)).alias(f"{t}_s"), F.count(e).alias(f"{t}_n"))]), "fold-sums")
+
+    def mean(t, c):
+        return F.try_divide(F.sum(f"{t}_{c}"), F.sum(f"{t}_n"))
+    per_seed = sums.groupBy(fraction, seed).agg(*[c for t in error for c in (F.sqrt(mean(t, "q")).alias(f"{t}_rmse"), mean(t, "s").alias(f"{t}_mae"))])
     gains = per_seed.groupBy(fraction).agg(
         F.avg("adapted_rmse").alias("adapted_rmse_mean"), F.stddev_samp("adapted_rmse").alias("adapted_rmse_std"),
         F.avg("baseline_rmse").alias("baseline_rmse_mean"), F.avg("adapted_mae").alias("adapted_mae_mean"),
         F.avg(improvement_percent("baseline_rmse", "adapted_rmse")).alias("rmse_improvement_mean_percent"),
         F.stddev_samp(improvement_percent("baseline_rmse", "adapted_rmse")).alias("rmse_improvement_std_percent"),
         F.count(F.when(F.col("adapted_rmse") < F.col("baseline_rmse"), 1)).alias("anchor_seed_rmse_wins"))
-    per_fold = pairs.groupBy(fraction, seed, "fold").agg(*[rmse(p).alias(t) for p, t in sides]).groupBy(fraction, "fold").agg(
+    per_fold = sums.select(fraction, "fold", *[F.sqrt(F.try_divide(f"{t}_q", f"{t}_n")).alias(t) for t in error]).groupBy(fraction, "fold").agg(
         F.avg("adapted").alias("a"), F.avg("baseline").alias("b"))
     wins = per_fold.groupBy(fraction).agg(
         F.count(F.when(F.col("a") < F.col("b"), 1)).alias("scenario_rmse_wins"), F.count(F.lit(1)).alias("num_scenarios"))

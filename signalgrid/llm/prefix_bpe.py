@@ -96,12 +96,20 @@ class PrefixBpe:
 
     def merged(self, data: bytes) -> list[int]:
         """Merges applied by rank, leftmost first: the definition, used on single pairs of tokens."""
+        rank, none = self.ranks.get, 1 << 30
         parts = [data[i: i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 30))
-            if parts[best] + parts[best + 1] not in self.ranks:
+        joined = [rank(data[i: i + 2], none) for i in range(len(data) - 1)]  # rank of each part with the next
+        while joined:
+            low = min(joined)
+            if low == none:
                 break
+            best = joined.index(low)
             parts[best: best + 2] = [parts[best] + parts[best + 1]]
+            del joined[best]
+            if best < len(joined):
+                joined[best] = rank(parts[best] + parts[best + 1], none)
+            if best:
+                joined[best - 1] = rank(parts[best - 1] + parts[best], none)
         return [self.ranks[p] for p in parts]
 
     def keeps(self, a: int, b: int) -> bool:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from signalgrid.llm.components import components
 from signalgrid.llm.tables import materialise, partitions
-from signalgrid.llm.text import column, list_array, list_parts, mix, shingle_sets, slices, split_words
+from signalgrid.llm.text import column, giving_back, list_array, list_parts, mix, shingle_sets, slices, split_words
 
 SMALL = 64  # sets up to this size are judged on all their shingles
 HASHES = 8
@@ -71,7 +71,7 @@ def sets(docs: DataFrame, n: int, part: float, full: bool = False, keep: tuple[s
                      *[column(batch, c).slice(a, b - a) for c in keep]], ["doc_id", "sid", "size", "tokens", *keep])
 
     schema = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(F.col("doc_id").cast("bigint"), "text", *keep).mapInArrow(kernel, "doc_id bigint, sid bigint, size bigint, tokens array<bigint>" + schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text", *keep).mapInArrow(giving_back(kernel), "doc_id bigint, sid bigint, size bigint, tokens array<bigint>" + schema)
 
 
 def live_sets(rows: DataFrame, t: int, part: float) -> DataFrame:
@@ -112,7 +112,7 @@ def pivots(tokens: DataFrame, hashes: int = HASHES) -> DataFrame:
             least = np.array([np.minimum.reduceat(mix(flat.view(np.uint64) ^ s), offsets[:-1]) for s in salts]).view(np.int64)
             yield pa.RecordBatch.from_arrays([column(batch, "sid"), list_array(list(least.T))], ["sid", "mins"])
 
-    mins = tokens.select("sid", "tokens").mapInArrow(kernel, "sid bigint, mins array<bigint>").select("sid", F.posexplode("mins").alias("slot", "least"))
+    mins = tokens.select("sid", "tokens").mapInArrow(giving_back(kernel), "sid bigint, mins array<bigint>").select("sid", F.posexplode("mins").alias("slot", "least"))
     named = mins.join(mins.groupBy("slot", "least").agg(F.min("sid").alias("pivot")), ["slot", "least"])
     votes = named.groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     return votes.groupBy("sid").agg(F.max(F.struct("votes", (-F.col("pivot")).alias("p"))).alias("best")).select("sid", (-F.col("best.p")).alias("pivot"))
@@ -136,7 +136,7 @@ def differences(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[column(batch, c) for c in kept], pa.array(np.diff(b), pa.int64()), pa.array(minus, pa.int64()), list_array(diff)], schema.names)
 
-    return pairs.select(*kept, "tokens", "ptokens").mapInArrow(kernel, schema)
+    return pairs.select(*kept, "tokens", "ptokens").mapInArrow(giving_back(kernel), schema)
 
 
 def compare_chunks(left: dict, right: dict | None, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalgrid.llm.text import column, mix, slices
+from signalgrid.llm.text import column, giving_back, mix, slices
 
 #: Entries (some 200 bytes each) of the younger of two generations of a cache; slices are learned whole, so one may exceed it.
 GENERATION = 40_000
@@ -365,7 +365,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
                 yield pa.RecordBatch.from_arrays(out, names)
         enc.release()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(kernel, schema)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(giving_back(kernel), schema)
 
 
 def op10_byte_bpe(docs: DataFrame) -> DataFrame:

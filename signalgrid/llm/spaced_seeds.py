@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.llm.tables import materialise
-from signalgrid.llm.text import NOT_ALNUM, Words, chained, column, list_array, mix, slices, split_words
+from signalgrid.llm.text import NOT_ALNUM, Words, chained, column, giving_back, list_array, mix, slices, split_words
 
 #: Positions of a window that count (fixed values): no single substitution breaks both masks everywhere.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8))
@@ -156,7 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[tuple[int,
                     longest = [max((h[2] - h[1] for h in found.get(d, ())), default=0) for d in range(b - a)]
                     yield pa.RecordBatch.from_arrays([*[column(part, c) for c in kept], list_array(items), pa.array(counts, pa.int64()), pa.array(longest, pa.int64())], schema.names)
 
-        return rows.select(*kept).mapInArrow(kernel, schema)
+        return rows.select(*kept).mapInArrow(giving_back(kernel), schema)
 
     found = None
     for block in blocks(benchmark, masks):

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalgrid.llm.tables import materialise
-from signalgrid.llm.text import column
+from signalgrid.llm.text import column, giving_back
 
 SAMPLE = 8_000
 FOLDS = 3
@@ -100,19 +100,34 @@ class _Sample:
     def __init__(self, term_lists: pa.Array):
         offsets = np.asarray(term_lists.offsets)
         coded = term_lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        row = np.repeat(np.arange(len(term_lists)), np.diff(offsets))
-        code, names = np.asarray(coded.indices), np.array(coded.dictionary.to_pylist(), object)
-        # A word's first letters are terms as well, so inflections share weight.
-        parts = [(row, code)]
+        row = np.repeat(np.arange(len(term_lists), dtype=np.int32), np.diff(offsets))
+        code, names = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        del coded
+        # A word's first letters are terms as well, so inflections share weight. Kinds of terms are worked off
+        # one by one and leave only terms of enough rows, which holds the pairs of one kind at a time.
         every = {w: i for i, w in enumerate(names)}
+        kinds = [np.arange(len(names), dtype=np.int32)]
         for k in PREFIXES:
-            head = np.array([every.setdefault("^" + w[:k], len(every)) if len(w) > k else -1 for w in names], np.int64)
-            parts.append((row[head[code] >= 0], head[code][head[code] >= 0]))
-        pairs = np.unique(np.concatenate([r * np.int64(len(every)) + c for r, c in parts])) if len(row) else np.zeros(0, np.int64)
-        self.row, self.code, self.rows = pairs // max(1, len(every)), pairs % max(1, len(every)), len(term_lists)
-        self.names = np.array(list(every), object)
-        often = np.bincount(self.code, minlength=len(every)) >= LEAST_DOCUMENTS
-        self.row, self.code = self.row[often[self.code]], self.code[often[self.code]]
+            kinds.append(np.array([every.setdefault("^" + w[:k], len(every)) if len(w) > k else -1 for w in names], np.int32))
+        self.rows, self.names, rows, codes = len(term_lists), np.array(list(every), object), [], []
+        span = np.int64(max(1, len(every)))
+        for head in kinds[1:] + kinds[:1]:
+            term = head[code]
+            has = term >= 0
+            pairs = row[has] * span + term[has]
+            if head is not kinds[0]:
+                # A word that reads like the mark of first letters ("^abcd") is that term and counts with it.
+                twin = np.zeros(len(names) + 1, bool)
+                twin[head[(head >= 0) & (head < len(names))]] = True
+                kinds[0][twin[:-1]] = -1
+                same = twin[code]
+                pairs = np.concatenate([pairs, row[same] * span + code[same]])
+            pairs = np.unique(pairs)
+            term = (pairs % span).astype(np.int32)
+            often = (np.bincount(term, minlength=len(every)) >= LEAST_DOCUMENTS)[term] if len(term) else np.zeros(0, bool)
+            rows.append((pairs[often] // span).astype(np.int32))
+            codes.append(term[often])
+        self.row, self.code = np.concatenate(rows), np.concatenate(codes)
 
     def chosen(self, y: np.ndarray, among: np.ndarray) -> np.ndarray:
         """The FEATURES terms with the largest chi-square against y, over the rows `among`."""
@@ -178,11 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, chain: tuple[str, ...], sample: int
         if not table:
             return
         whole = pa.Table.from_batches(table).sort_by("doc_id").combine_chunks()
+        table.clear()
         y = {c: whole[c].to_numpy() for c in chain}
         links = fit_chain(whole["terms"].chunk(0), y, whole["fold"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([asdict(k) for k in links])])], ["links"])
 
-    found = materialise(materialise(rows, "chain-sample").coalesce(1).mapInArrow(kernel, "links string"), "chain-models").collect()
+    found = materialise(materialise(rows, "chain-sample").coalesce(1).mapInArrow(giving_back(kernel), "links string"), "chain-models").collect()
     if not found:
         return [Link(c, -10.0, {}, [0.0] * k, 0.5) for k, c in enumerate(chain)]
     return [Link(**k) for k in json.loads(found[0]["links"])]
@@ -221,7 +237,7 @@ def score(docs: DataFrame, links: list[Link]) -> DataFrame:
             out = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(links)), pa.array(sums.ravel()))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in kept], out], schema.names)
 
-    out = docs.withColumn("_terms", terms(F.col("text"))).mapInArrow(kernel, schema)
+    out = docs.withColumn("_terms", terms(F.col("text"))).mapInArrow(giving_back(kernel), schema)
     for k, link in enumerate(links):
         logit = F.lit(link.intercept) + F.col("_sums")[k]
         for earlier, weight in zip(links, link.earlier):

@@ -197,16 +197,21 @@ def positions(files: DataFrame) -> DataFrame:
     column and tx_y the X column, wherever the header puts them.
     """
     name = r"Positions_B(\d+)_Ant(\d+)_f(\d+)"
-    lines = F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "")
-    parsed = files.select(
-        *[F.regexp_extract("file_name", name, i + 1).cast("int").alias(c) for i, c in enumerate(("building_id", "antenna_id", "frequency_id"))],
-        F.transform(F.split(F.get(lines, F.lit(0)), ","), lambda s: F.upper(F.trim(s))).alias("header"),
-        F.posexplode(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0)))).alias("sample_index", "line"))
+    ids = ["building_id", "antenna_id", "frequency_id"]
+    # Columns beside a generator are worked out for each of its rows, so whatever needs the whole file is put
+    # into the generated array: a row carries its line and the places of the two axes, not the file.
+    lines = files.select("file_name", F.filter(F.split("value", r"\r?\n"), lambda s: F.trim(s) != "").alias("lines"))
+    header = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda s: F.upper(F.trim(s)))
+    body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    places = F.struct(*[(F.array_position(header, axis).cast("int") - 1).alias(axis) for axis in ("X", "Y")])
+    rows = F.explode(F.arrays_zip(body.alias("line"), F.sequence(F.lit(0), F.size(body) - 1).alias("sample_index"), F.array_repeat(places, F.size(body)).alias("at")))
+    parsed = lines.where(F.size("lines") > 1).select("file_name", rows.alias("r"))
 
     def field(axis):
-        at = F.array_position("header", axis).cast("int") - 1
-        return F.get(F.split("line", ","), at).try_cast("double")
-    return parsed.select("building_id", "antenna_id", "frequency_id", "sample_index", field("Y").alias("tx_x"), field("X").alias("tx_y"))
+        return F.get(F.split("r.line", ","), F.col(f"r.at.{axis}")).try_cast("double")
+    return parsed.select(
+        *[F.regexp_extract("file_name", name, i + 1).cast("int").alias(c) for i, c in enumerate(ids)], F.col("r.sample_index").alias("sample_index"),
+        field("Y").alias("tx_x"), field("X").alias("tx_y"))
 
 
 def read_positions(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.functions import pathloss as pl
+from signalgrid.operators.percentiles import null_safe_join
 from signalgrid.session import spread
 
 TILE = 64
@@ -41,21 +42,68 @@ def ray_cells(segments: DataFrame, x0="x0", y0="y0", x1="x1", y1="y1") -> DataFr
     ).withColumn("ray_y", F.col(y0) + sy * F.when(dx >= dy, off).otherwise(F.col("step")))
 
 
+#: Segments of a raster and tile that travel together (some 100 bytes each).
+SEGMENTS_TOGETHER = 16_384
+
+
 def segment_material_stats(segments: DataFrame, cells: DataFrame, segment_key: Sequence[str],
-                           material_ids: Sequence[int] = (1, 2, 3)) -> DataFrame:
+                           material_ids: Sequence[int] = (1, 2, 3), tile: int = TILE) -> DataFrame:
     """Line-of-sight flag, wall total and per-material counts for arbitrary segments.
 
-    Segments carry (sample_id, x0, y0, x1, y1). Segment lists are the caller's own and
-    short compared with rasters; whole rasters go through `ray_base_maps`.
+    Segments carry (sample_id, x0, y0, x1, y1). As for whole rasters, the segments that may cross
+    a tile are packed beside the tile's walls, so neither ray cells nor a raster's walls per segment
+    become rows. Segments of one raster and tile are cut by hash into packs of about `SEGMENTS_TOGETHER`.
     """
-    walls = cells.where("material > 0").select(
-        F.col("sample_id"), F.col("x").alias("ray_x"), F.col("y").alias("ray_y"), "material")
-    hit = ray_cells(segments).join(walls, ["sample_id", "ray_x", "ray_y"], "left")
-    return hit.groupBy(*segment_key).agg(
-        F.count("material").alias("wall_count"),
-        (F.count("material") == 0).alias("los"),
-        *[F.count(F.when(F.col("material") == m, 1)).alias(f"mat_{m}_count") for m in material_ids],
-    )
+    key, ids, ends = list(segment_key), tuple(int(m) for m in material_ids), ("_x0", "_y0", "_x1", "_y1")
+
+    def at(c):
+        return F.floor(F.col(c) / F.lit(tile)).cast("int")
+
+    # Tiles in the rectangle between the ends that lie near the line, by the same margin as in `ray_base_maps`.
+    # A segment that lacks a coordinate on one axis meets no wall; without either axis it has no cells and no row.
+    whole = F.expr("x0 IS NOT NULL AND y0 IS NOT NULL AND x1 IS NOT NULL AND y1 IS NOT NULL")
+    known = segments.where("(x0 IS NOT NULL AND x1 IS NOT NULL) OR (y0 IS NOT NULL AND y1 IS NOT NULL)").select(
+        *key, F.when(whole, F.col("sample_id")).alias("_raster"), *[F.when(whole, F.col(c[1:])).otherwise(0).cast("bigint").alias(c) for c in ends])
+    one = (at("_x0") == at("_x1")) & (at("_y0") == at("_y1"))
+    over = known.withColumn("over_y", F.explode(F.sequence(F.least(at("_y0"), at("_y1")), F.greatest(at("_y0"), at("_y1"))))).withColumn(
+        "over_x", F.explode(F.sequence(F.least(at("_x0"), at("_x1")), F.greatest(at("_x0"), at("_x1")))))
+    mid, reach = (tile - 1) / 2.0, tile * 2.0**0.5 + 1.0
+    lx, ly = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+    px, py = F.col("over_x") * tile + mid - F.col("_x0"), F.col("over_y") * tile + mid - F.col("_y0")
+    home = (F.col("over_x") == at("_x0")) & (F.col("over_y") == at("_y0"))
+    over = over.withColumn("home", home).where(one | home | (F.abs(lx * py - ly * px) <= reach * F.sqrt((lx * lx + ly * ly).cast("double"))))
+    packs = over.groupBy("_raster").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS_TOGETHER).alias("_packs"))
+    dealt = null_safe_join(over, packs, ["_raster"]).withColumn("_pack", F.pmod(F.xxhash64(*key, *ends), "_packs")).drop("_packs")
+    where = ["_raster", "over_y", "over_x"]
+    carried = [*key, *ends, "home"]
+    packed = dealt.groupBy(*where, "_pack").agg(F.collect_list(F.struct(*carried)).alias("segs"))
+    walls = cells.where("material > 0").groupBy(
+        F.col("sample_id").alias("_raster"), F.floor(F.col("y") / tile).cast("int").alias("over_y"), F.floor(F.col("x") / tile).cast("int").alias("over_x")
+    ).agg(F.collect_list(F.struct(((F.col("y") % tile) * tile + F.col("x") % tile).cast("int").alias("pos"), "material")).alias("w"))
+
+    names = ["walls", *[f"m{m}" for m in ids]]
+
+    @F.pandas_udf("struct<" + ",".join(f"{n}:array<bigint>" for n in names) + ">")
+    def trace(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for x0, y0, x1, y1, left, top, pos, mat in batches:
+            rows = []
+            for r in range(len(x0)):
+                p, m = np.asarray(pos.iloc[r], dtype=np.int64), np.asarray(mat.iloc[r], dtype=np.int64)
+                counts = [np.bincount(some, minlength=tile * tile + 1) for some in (p, *[p[m == i] for i in ids])]
+                b = [np.asarray(c.iloc[r], dtype=np.int64) for c in (x0, y0, x1, y1)]
+                # The first row counts cells of `dense` and is not used; the others add up walls, also where a cell occurs twice.
+                rows.append(_trace(*b, int(left.iloc[r]), int(top.iloc[r]), tile, counts[0], counts, ())[1:].astype(np.int64))
+            yield pd.DataFrame({n: [row[j] for row in rows] for j, n in enumerate(names)})
+
+    pairs = packed.join(walls, where, "left")
+    traced = pairs.withColumn("ray", trace(
+        *[F.col(f"segs.{c}") for c in ends], F.col("over_x") * tile, F.col("over_y") * tile,
+        F.coalesce("w.pos", F.array().cast("array<int>")), F.coalesce("w.material", F.array().cast("array<int>"))))
+    rows = traced.select(F.explode(F.arrays_zip("segs", *[F.col(f"ray.{n}").alias(n) for n in names])).alias("z")).where("z.segs.home OR z.walls > 0")
+    found = rows.select(*[F.col(f"z.segs.{k}").alias(k) for k in key], *[F.col(f"z.{n}").alias(n) for n in names])
+    return found.groupBy(*key).agg(
+        F.sum("walls").alias("wall_count"), (F.sum("walls") == 0).alias("los"),
+        *[F.sum(f"m{m}").alias(f"mat_{m}_count") for m in ids])
 
 
 def ray_origin(cells: DataFrame) -> DataFrame:

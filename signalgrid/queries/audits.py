@@ -13,6 +13,7 @@ from signalgrid.queries import scores as S
 from signalgrid.queries import splits as QS
 from signalgrid.queries import sql_parts as sq
 from signalgrid.queries.registry import query, scan_rows, tidy
+from signalgrid.session import materialise
 
 
 def split(spark, sf_dir):
@@ -49,17 +50,17 @@ def aud2(spark, sf_dir):
 
 
 def _features_from(spark, sf_dir, base, seeds=(11,)):
-    taken = ev.anchor_rows(base, [D.RATE], list(seeds), 4, D.bound(spark, sf_dir))
-    fitted = ev.physics_fits(taken)
+    taken = materialise(ev.anchor_rows(base, [D.RATE], list(seeds), 4, D.bound(spark, sf_dir)), "anchors")
+    fitted = materialise(ev.physics_fits(taken), "fits")
     preds = ev.physics_predictions(base, fitted, [D.RATE], list(seeds))
-    with_pred = taken.join(preds.select(*ev.SWEEP, "y", "x", "multi_wall_pred_db"), [*ev.SWEEP, "y", "x"])
+    with_pred = materialise(taken.join(preds.select(*ev.SWEEP, "y", "x", "multi_wall_pred_db"), [*ev.SWEEP, "y", "x"]), "anchors-fitted")
     return features.dense_features(preds, with_pred, interp.anchor_density(base, taken), D.RATE)
 
 
 def _perturbation(spark, sf_dir, columns):
     base = D.maps(spark, sf_dir)
     taken = ev.anchor_rows(base, [D.RATE], [11], 4, D.bound(spark, sf_dir))
-    before, after = _features_from(spark, sf_dir, base), _features_from(spark, sf_dir, A.perturbed(base, taken))
+    before, after = _features_from(spark, sf_dir, base), _features_from(spark, sf_dir, materialise(A.perturbed(base, taken), "perturbed"))
     keys = [*ev.SWEEP, "y", "x"]
     moved = A.changed_rows(before, after, keys, columns).agg(F.count(F.lit(1)).alias("changed"))
     return base.agg(F.count(F.lit(1)).alias("rows_checked")).join(F.broadcast(moved))  # one row each

@@ -206,8 +206,8 @@ FOLD_ROWS = POINT_PREDS + """, fold_rows AS (SELECT split, method, random_seed,
 """
 
 
-def fold_rows(spark, sf_dir) -> DataFrame:
-    return M.error_metrics(point_predictions(spark, sf_dir), ["split", "method", "random_seed", "fold"], "pred_pl_db", "target_pl_db", std="pop",
+def fold_rows(spark, sf_dir, preds: DataFrame | None = None) -> DataFrame:
+    return M.error_metrics(point_predictions(spark, sf_dir) if preds is None else preds, ["split", "method", "random_seed", "fold"], "pred_pl_db", "target_pl_db", std="pop",
                            rows_bound=scan_rows(spark, sf_dir, "lineitem")).select("split", "method", "random_seed", "fold", "rmse", "mae", "p90_ae")
 
 

@@ -18,6 +18,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class PrefixTable:
 
 
 class PrefixBpe:
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], splits: tuple[np.ndarray, np.ndarray] | None = None):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
         self.size = {i: len(b) for b, i in ranks.items()}
@@ -91,17 +92,40 @@ class PrefixBpe:
         self.may_be[found >> np.uint64(44)] = True
         self.sizes = np.ones(max(self.size, default=0) + 1, np.int64)
         self.sizes[list(self.size)] = list(self.size.values())
+        self.names = np.full(len(self.sizes), None, object)
+        for i, b in self.bytes.items():
+            self.names[i] = b
         # Answers of `keeps` by place; a later pair overwrites an earlier one.
         self.pair, self.pair_kept = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
-
-    def merged(self, data: bytes) -> list[int]:
-        """Merges applied by rank, leftmost first: the definition, used on single pairs of tokens."""
+        self.left, self.right = self.split() if splits is None else splits
+        token = np.flatnonzero((self.left >= 0) & (self.sizes > 1))
+        key = (self.left[token] << 32) | self.right[token]
+        order = np.argsort(key)
+        # One pair that never occurs, so that searches have a place to end in.
+        self.joined, self.joined_id = np.append(key[order], 1 << 62), np.append(token[order], 0)
+
+    def split(self) -> tuple[np.ndarray, np.ndarray]:
+        """The two tokens that the last merge of each token joins (single bytes: themselves; -1: the merges do not make it)."""
+        left, right = np.full(len(self.sizes), -1, np.int64), np.full(len(self.sizes), -1, np.int64)
+        composed = [b for b in self.ranks if len(b) > 1]
+        single = [i for b, i in self.ranks.items() if len(b) == 1]
+        # The walk of `keeps_split` compares ids as times of merges, so single bytes must come first.
+        if single and (not composed or max(single) < min(map(self.ranks.__getitem__, composed))):
+            left[single] = right[single] = single
+            for b in composed:
+                parts = self.merged(b, self.ranks[b])
+                if len(parts) == 2:
+                    left[self.ranks[b]], right[self.ranks[b]] = parts
+        return left, right
+
+    def merged(self, data: bytes, below: int = 1 << 30) -> list[int]:
+        """Merges of ranks under `below` applied by rank, leftmost first: the definition, used on single tokens and pairs of tokens."""
         rank, none = self.ranks.get, 1 << 30
         parts = [data[i: i + 1] for i in range(len(data))]
         joined = [rank(data[i: i + 2], none) for i in range(len(data) - 1)]  # rank of each part with the next
         while joined:
             low = min(joined)
-            if low == none:
+            if low >= min(below, none):
                 break
             best = joined.index(low)
             parts[best: best + 2] = [parts[best] + parts[best + 1]]
@@ -155,12 +179,39 @@ class PrefixBpe:
         if not known.all():
             new = np.flatnonzero(~known)
             distinct, back = np.unique(key[new], return_inverse=True)
-            pairs = ((k >> 32, k & 0xFFFFFFFF) for k in distinct.tolist())
-            answers = np.array([self.merged(self.bytes[x] + self.bytes[y]) == [x, y] for x, y in pairs], bool)[back]
+            first, second = distinct >> 32, distinct & 0xFFFFFFFF
+            answers = np.zeros(len(distinct), bool)
+            made = (self.left[first] >= 0) & (self.left[second] >= 0)
+            answers[made] = self.keeps_split(first[made], second[made])
+            for i in np.flatnonzero(~made).tolist():
+                x, y = int(first[i]), int(second[i])
+                answers[i] = self.merged(self.bytes[x] + self.bytes[y]) == [x, y]
+            answers = answers[back]
             kept[new] = answers
             self.pair[place[new]], self.pair_kept[place[new]] = key[new], answers
         return kept
 
+    def keeps_split(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`keeps` for pairs of tokens that the merges make, by taking back merges at their common border, latest first:
+        the pair stays unless the two tokens met there would have been joined before the merge just taken back."""
+        kept, todo = np.zeros(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), 1 << 40, np.int64)
+        while len(todo):
+            key = (a << 32) | b
+            at = np.searchsorted(self.joined, key)
+            go = ~((self.joined[at] == key) & (self.joined_id[at] < limit))
+            a, b, todo = a[go], b[go], todo[go]
+            right, left = self.right[a], self.left[b]
+            whole_a, whole_b = right == a, left == b
+            end = whole_a & whole_b
+            kept[todo[end]] = True
+            first = ((a > b) | whole_b) & ~whole_a  # the merge that made a is taken back
+            # Equal ranks are joined leftmost first, so a pair left of the merge of b goes before it.
+            limit = np.where(first, a, b + 1)
+            a, b = np.where(first, right, a), np.where(first, b, left)
+            a, b, limit, todo = a[~end], b[~end], limit[~end], todo[~end]
+        return kept
+
     def encode_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids (little-endian, 32 bits) of distinct pieces of 1 to SHORT bytes, with all their prefix tables filled in step."""
         if not pieces:
@@ -192,15 +243,20 @@ class PrefixBpe:
             token = np.where(at > 0, last[at, every], -1)
             steps.append(token)
             at = np.where(at > 0, at - self.sizes[token], 0)
-        backwards = np.array(steps).T
-        count = (backwards >= 0).sum(axis=1).tolist()
-        out = {}
-        for piece, row, n in zip(pieces, backwards.astype("<u4"), count):
-            ids = row[:n][::-1]
-            same = b"".join(map(self.bytes.__getitem__, ids.tolist())) == piece
-            out[piece] = ids.tobytes() if same else np.array(self.encode_piece(piece), "<u4").tobytes()
+        steps = np.array(steps)[::-1].T  # ids right-aligned, piece by piece
+        real = steps >= 0
+        ids, ends = steps[real].astype("<u4"), np.cumsum(real.sum(axis=1))
+        flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        out = {piece: flat[a:b] for piece, a, b in zip(pieces, cuts[:-1], cuts[1:], strict=True)}
+        if self.decoded(ids) != b"".join(pieces):  # two strings of one hash somewhere
+            for piece, got in out.items():
+                if self.decoded(np.frombuffer(got, "<u4")) != piece:
+                    out[piece] = np.array(self.encode_piece(piece), "<u4").tobytes()
         return out
 
+    def decoded(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.names[ids])
+
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         return [whole] if whole is not None else PrefixTable(self, data).tokens()
@@ -233,6 +289,15 @@ class Cache(dict):
             return True
         return False
 
+    def unknown(self, keys: set) -> set:
+        """The keys that neither generation holds; those of the old one move to the young one."""
+        keys = keys - self.keys()
+        if self.old:
+            again = keys & self.old.keys()
+            self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            keys -= again
+        return keys
+
     def forget(self) -> None:
         self.clear()
         self.old = {}
@@ -244,11 +309,11 @@ class TextEncoder(Cache):
     A text without long runs of white space is cut at its spaces, where the pattern always
     starts a new match; other texts are split by the pattern itself."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, splits: tuple[np.ndarray, np.ndarray] | None = None):
         import regex
 
         super().__init__()
-        self.bpe = PrefixBpe(ranks)
+        self.bpe = PrefixBpe(ranks, splits)
         self.match = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
         self.pieces = Cache()
 
@@ -275,17 +340,21 @@ class TextEncoder(Cache):
                 head, *rest = text.split(" ")
                 words.update(rest)
                 matches.update(self.match.findall(head))
-        cut = {w: self.match.findall(" " + w) for w in words if len(w) < 64 and not self.recalled(w)}
-        for found in cut.values():
-            matches.update(found)
-        new = {m: m.encode("utf-8") for m in matches if len(m) < 64 and not self.pieces.recalled(m)}
-        short = [b for b in new.values() if len(b) <= SHORT and b not in self.bpe.ranks]
+        find = self.match.findall
+        cut = {w: find(" " + w) for w in self.unknown(words) if len(w) < 64}
+        matches.update(chain.from_iterable(cut.values()))
+        new = [m.encode("utf-8") for m in self.pieces.unknown(matches) if len(m) < 64]
+        short = [b for b in new if len(b) <= SHORT and b not in self.bpe.ranks]
         for a in range(0, len(short), TOGETHER):
             ids = self.bpe.encode_many(short[a: a + TOGETHER])
             for b, got in ids.items():
                 self.pieces[b.decode("utf-8")] = got
+        known = self.pieces.get
         for word, found in cut.items():
-            self[word] = b"".join(map(self.piece, found))
+            if len(found) == 1:
+                self[word] = known(found[0]) or self.piece(found[0])
+            else:
+                self[word] = b"".join(map(self.piece, found))
 
     def release(self) -> None:
         """Drop what was learned; the vocabulary's tables stay."""
@@ -307,7 +376,7 @@ class TextEncoder(Cache):
         return self.split(head) + b"".join(map(self.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bpe.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return self.bpe.decoded(np.frombuffer(ids, "<u4"))
 
 
 _ENCODERS: dict[int, TextEncoder] = {}
@@ -339,7 +408,8 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     import public_tokenizers
 
     ranks = read_ranks(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    value = (ranks, pattern or public_tokenizers.PATTERN)
+    bpe = PrefixBpe(ranks)
+    value = (ranks, pattern or public_tokenizers.PATTERN, (bpe.left, bpe.right))
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(value), hash((len(ranks), value[1], ranks_path)))
     schema = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "tokens array<bigint>")
 

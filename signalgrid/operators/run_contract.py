@@ -2,17 +2,21 @@
 
 Every table carries the place it was read from as (`run_split`, `run_seed`) beside its own
 columns, so a table lying under the wrong run is found. All runs are checked in one pass
-per table; predictions are counted per point first, so a large run is not one group.
+per table. Kinds of predictions (method, fold) are counted first, and a point is one row with a bit for
+each kind it has, so neither a prediction nor a large run is shuffled as such.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.operators.contracts import require
+from signalgrid.operators.kinds import bits, unit_kinds
 from signalgrid.operators.metrics import finite
 
 RUN = ["run_split", "run_seed"]
@@ -58,16 +62,32 @@ def _folds(folds: DataFrame, expected_folds: DataFrame, methods: Sequence[str],
 def _samples(samples: DataFrame, uid: str, values: Sequence[str]) -> DataFrame:
     flags = [_all(F.col("random_seed") == F.col("run_seed")).alias("_s_seed"), _all(F.col("split") == F.col("run_split")).alias("_s_split"),
              _all_finite(values).alias("_s_finite")]
-    keep = [F.min(c).alias(c) for c in ("_s_seed", "_s_split", "_s_finite", "_s_unique")]
-    total = F.sum("_c").alias("_c")
-    placed = samples.groupBy(*RUN, uid, "method", "fold").agg(F.count(F.lit(1)).alias("_c"), *flags).withColumn("_s_unique", F.col("_c") == 1)
-    points = placed.groupBy(*RUN, uid, "method").agg(total, *keep)
+    known = unit_kinds(samples, RUN, [uid], ["method", "fold"], flags)
     # A point without an id is no point.
-    by_method = points.groupBy(*RUN, "method").agg(total, F.count(uid).alias("_points"), *keep)
-    # The largest count of one method would miss a point that only another method has.
-    distinct = points.where(F.col(uid).isNotNull()).groupBy(*RUN, uid).agg(F.lit(1).alias("_one")).groupBy(*RUN).agg(F.count(F.lit(1)).alias("unique_test_points"))
-    rows = by_method.groupBy(*RUN).agg(F.sum("_c").alias("sample_rows"), F.min("_points").alias("_fewest"), F.max("_points").alias("_most"), *keep)
-    return rows.join(distinct, RUN, "left")
+    named = F.col(uid).isNotNull()
+    if known.words:
+        # A point adds to the methods of its run of which it has a fold.
+        masks = known.table.groupBy(*RUN, "method").agg(F.array(*bits(known.words)).alias("_words"))
+        listed = masks.groupBy(*RUN).agg(F.collect_list("_words").alias("_methods"))
+        most = listed.agg(F.max(F.size("_methods"))).first()[0] or 0
+
+        def has(i: int) -> Column:
+            own = F.get("_methods", F.lit(i))
+            return reduce(or_, [F.col(f"_w{w}").bitwiseAND(F.get(own, F.lit(w))) != 0 for w in range(known.words)])
+
+        points = known.units.withColumn("_unique", F.col("_unique").cast("int")).join(F.broadcast(listed), RUN)
+        counted = points.groupBy(*RUN).agg(
+            F.min("_unique").cast("boolean").alias("_s_unique"), F.count(F.when(named, 1)).alias("unique_test_points"), F.first(F.size("_methods")).alias("_n"),
+            *[F.count(F.when(named & has(i), 1)).alias(f"_m{i}") for i in range(most)])
+        each = F.slice(F.array(*[f"_m{i}" for i in range(most)]), F.lit(1), F.col("_n")) if most else F.array().cast("array<bigint>")
+        points = counted.select(*RUN, "_s_unique", "unique_test_points", F.array_min(each).alias("_fewest"), F.array_max(each).alias("_most"))
+    else:
+        by_method = known.units.groupBy(*RUN, uid, "method").agg(F.min("_unique").alias("_s_unique")).groupBy(*RUN, "method").agg(
+            F.count(uid).alias("_points"), F.min("_s_unique").alias("_s_unique"))
+        distinct = known.units.where(named).select(*RUN, uid).distinct().groupBy(*RUN).agg(F.count(F.lit(1)).alias("unique_test_points"))
+        points = by_method.groupBy(*RUN).agg(F.min("_s_unique").alias("_s_unique"), F.min("_points").alias("_fewest"), F.max("_points").alias("_most")).join(distinct, RUN, "left")
+    rows = known.table.groupBy(*RUN).agg(F.sum("_c").alias("sample_rows"), *[F.min(c).alias(c) for c in ("_s_seed", "_s_split", "_s_finite")])
+    return rows.join(points, RUN)
 
 
 def _pooled(pooled: DataFrame, methods: Sequence[str], metrics: Sequence[str]) -> DataFrame:

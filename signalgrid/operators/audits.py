@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import product
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalgrid.functions.hashing import stable_hash
+from signalgrid.operators.kinds import BITS, bits, unit_kinds
 from signalgrid.operators.metrics import finite
 
 RESULT = "check_id int, name string, status string, severity string, detail string, metrics map<string,string>"
@@ -124,10 +129,46 @@ def boolean_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return row.unpivot([], list(checks), "name", "passed")
 
 
-def _values_are(column: str, expected: Sequence, bounded: Column | None = None) -> Column:
-    """True when the column's values are exactly `expected`; a null is a foreign value."""
-    c = F.col(column) if bounded is None else bounded
-    return (F.min(F.coalesce(c.isin(*expected), F.lit(False)))) & (F.countDistinct(c) == len(expected))
+@dataclass(frozen=True)
+class Planned:
+    """Predictions against the planned values of their key columns.
+
+    `units` has a row per point: the number of its rows and a bit per planned kind (a value of every column). Rows of any other kind are in
+    rows of their own, with that kind in `_other`."""
+
+    units: DataFrame
+    values: dict[str, tuple]
+    words: int
+
+    def unique(self) -> Column:
+        """No point has a kind twice."""
+        have = sum((F.bit_count(f"_w{i}") for i in range(self.words)), F.lit(0))
+        return F.min(F.col("_c") == F.when(F.col("_other").isNull(), have).otherwise(1))
+
+    def whole(self, column: str, bounded=lambda c: c) -> Column:
+        """The column's values are exactly the planned ones; a null is a foreign value."""
+        own, known = bounded(F.col(f"_other.{column}")), F.col("_other").isNull()
+        inside = F.min(F.coalesce(known | own.isin(*self.values[column]), F.lit(False)))
+        place = list(self.values).index(column)
+        masks: dict = {v: [0] * self.words for v in self.values[column]}
+        for i, kind in enumerate(product(*self.values.values())):
+            masks[kind[place]][i // BITS] |= 1 << i % BITS
+        for v, words in masks.items():
+            among = reduce(or_, [F.col(f"_w{i}").bitwiseAND(F.lit(m).cast("bigint")) != 0 for i, m in enumerate(words)])
+            inside = inside & F.max(F.coalesce(F.when(known, among).otherwise(own == v), F.lit(False)))
+        return inside
+
+
+def planned_units(rows: DataFrame, unit: Sequence[str], values: dict[str, tuple], aggs: Sequence[Column] = ()) -> Planned:
+    """`rows` read once: one row per unit, combined before the shuffle; only rows of a kind that was not planned stay by kind."""
+    place, known, total = F.lit(0), F.lit(True), 1
+    for column, expected in values.items():
+        at = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in expected]), F.col(column)), F.lit(0)).cast("int")
+        place, known, total = place * len(expected) + at - 1, known & (at > 0), total * len(expected)
+    words = -(-total // BITS)
+    placed = rows.withColumns({"_place": F.when(known, place).otherwise(-1), "_other": F.when(~known, F.struct(*values))})
+    units = placed.groupBy(*unit, "_other").agg(F.count(F.lit(1)).alias("_c"), *aggs, *[b.alias(f"_w{i}") for i, b in enumerate(bits(words))])
+    return Planned(units, values, words)
 
 
 def fewshot_audit(fewshot: DataFrame, zero: DataFrame, summaries: DataFrame, methods: Sequence[str], folds: Sequence[str],
@@ -135,11 +176,11 @@ def fewshot_audit(fewshot: DataFrame, zero: DataFrame, summaries: DataFrame, met
     """The twelve conditions on few-shot predictions and the run they adapt, as rows (name, passed).
 
     `summaries` has one row per kind (fewshot, zero) with the split and seed it states.
-    Repeats are counted per prediction before anything is summed, so no group is large.
+    A point of the planned predictions is one row, so no group is large and no prediction is shuffled.
     """
-    keys = ["row_uid", "fold", "method", "anchor_fraction", "anchor_seed", "model_seed"]
-    adapted = fewshot.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), _worst_anchor().alias("anchor"))
-    base = zero.groupBy("row_uid", "fold", "method").agg(F.count(F.lit(1)).alias("copies"))
+    few = planned_units(fewshot, ["row_uid"], {"fold": tuple(folds), "method": tuple(methods), "anchor_fraction": tuple(fractions),
+                                               "anchor_seed": tuple(anchor_seeds), "model_seed": (model_seed,)}, [_worst_anchor().alias("anchor")])
+    base = unit_kinds(zero, [], ["row_uid"], ["fold", "method"]).units
 
     def stated(kind, column, value):
         return F.min(F.when(F.col("kind") == kind, F.col(column).eqNullSafe(F.lit(value))))
@@ -147,13 +188,13 @@ def fewshot_audit(fewshot: DataFrame, zero: DataFrame, summaries: DataFrame, met
         boolean_checks(summaries, {
             "fewshot_split": stated("fewshot", "split", "leave_scenario_fewshot"), "zero_shot_split": stated("zero", "split", "leave_scenario_out"),
             f"fewshot_model_seed_{model_seed}": stated("fewshot", "seed", model_seed), f"zero_shot_seed_{model_seed}": stated("zero", "seed", model_seed)}),
-        boolean_checks(adapted, {
-            "fewshot_methods_complete": _values_are("method", methods), "folds_complete": _values_are("fold", folds),
-            "fractions_complete": _values_are("anchor_fraction", fractions, F.round("anchor_fraction", 2)),
-            "anchor_seeds_complete": _values_are("anchor_seed", anchor_seeds), "model_seed_constant": _values_are("model_seed", [model_seed]),
-            "anchors_excluded": ~F.max("anchor"), "fewshot_predictions_unique": F.max("copies") == 1}),
-        boolean_checks(base, {"zero_shot_predictions_unique": F.max("copies") == 1}))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        boolean_checks(few.units, {
+            "fewshot_methods_complete": few.whole("method"), "folds_complete": few.whole("fold"),
+            "fractions_complete": few.whole("anchor_fraction", lambda c: F.round(c, 2)),
+            "anchor_seeds_complete": few.whole("anchor_seed"), "model_seed_constant": few.whole("model_seed"),
+            "anchors_excluded": ~F.max("anchor"), "fewshot_predictions_unique": few.unique()}),
+        boolean_checks(base, {"zero_shot_predictions_unique": F.min("_unique")}))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _worst_anchor() -> Column:

@@ -39,3 +39,24 @@ def test_a_point_of_many_predictions_is_shuffled_once(spark):
                                     F.lit("x").alias("fold"), F.lit("s").alias("split"), F.lit(1).alias("random_seed"), F.lit(1.0).alias("pred"))
     plan = RC._samples(rows, "uid", ["pred"])._jdf.queryExecution().executedPlan().toString()
     assert sum("hashpartitioning" in line and "uid" in line for line in plan.splitlines()) == 1
+
+
+def test_planned_kinds_are_told_from_one_row_per_point(spark):
+    from signalgrid.operators.audits import planned_units
+
+    names = "uid string, method string, fraction double, seed int"
+    plan = {"method": tuple(f"m{i}" for i in range(40)), "fraction": (0.01, 0.05), "seed": (1,)}
+    whole = [(u, m, f, 1) for u in ("a", None) for m in plan["method"] for f in plan["fraction"]]
+
+    def told(rows):
+        found = planned_units(spark.createDataFrame(rows, names), ["uid"], plan)
+        row = found.units.agg(found.unique().alias("unique"), *[found.whole(c).alias(c) for c in ("method", "seed")], found.whole("fraction", lambda c: F.round(c, 2)).alias("fraction")).first()
+        return found, [c for c in ("unique", "method", "fraction", "seed") if not row[c]]
+
+    found, broken = told(whole)
+    assert (found.words, found.units.count(), broken) == (2, 2, [])
+    assert told([*whole, whole[3]])[1] == ["unique"]
+    assert told([r for r in whole if r[1] != "m39"])[1] == ["method"]
+    assert told([*whole, ("a", "m1", 0.050001, 1)])[1] == []
+    assert told([*whole, *[("b", "other", 0.01, None)] * 2])[1] == ["unique", "method", "seed"]
+    assert told([r for r in whole if r[2] < 0.02] + [("a", "m1", 0.050001, 1)])[1] == []
